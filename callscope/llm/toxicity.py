@@ -7,8 +7,8 @@ jointly in numpy.  A misspelling that was never seen shares most n-grams, and so
 of the average, with the words that were.
 
 A few words make a long document toxic, so the bags are not pooled over the document:
-its evidence is the strongest word, and a logistic map fitted on rows that the
-embeddings did not see turns that into a probability.
+its evidence is its strongest words, and a logistic map fitted on rows that the
+embeddings did not see turns them into a probability.
 
 As averaging and softmax are linear in the table, scoring needs one number per n-gram:
 the table times the difference of the two softmax columns.
@@ -31,6 +31,8 @@ THRESHOLD = 0.3
 #: Labelled rows learned from at most, of each label: those with the smallest hashes of their ids.
 TRAIN_ROWS = {1: 1000, 0: 2000}
 NGRAMS = (3, 4, 5, 6)
+#: Strongest words of a text that are its evidence.
+TOP = 4
 BUCKETS, DIM, EPOCHS, BATCH, RATE, DECAY, FOLDS = 1 << 18, 8, 6, 8192, 0.3, 1e-4, 3
 _MIX = np.uint32(0x9E3779B1)
 
@@ -85,30 +87,41 @@ def _log_odds(table: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.nda
     return s, (sums[e - 1] - sums[s - 1]) / np.maximum(_per_word(e - s), 1)
 
 
+def _strongest(odds: np.ndarray, first: np.ndarray, none: float) -> np.ndarray:
+    """The ``TOP`` largest of odds[first[k]:first[k + 1]] for each k, largest first, and ``none`` for what lacks."""
+    out = np.full((len(first) - 1, TOP), none)
+    odds, doc = odds.copy(), np.repeat(np.arange(len(first) - 1), np.diff(first))
+    full = np.flatnonzero(np.diff(first))
+    for k in range(TOP):
+        if not len(full):
+            break
+        best = np.maximum.reduceat(odds, first[:-1][full])
+        out[full, k] = np.where(np.isfinite(best), best, none)
+        place = np.full(len(first) - 1, np.inf)
+        place[full] = best
+        hit = np.flatnonzero(odds == place[doc])
+        odds[hit[np.unique(doc[hit], return_index=True)[1]]] = -np.inf  # one word of each text
+    return out
+
+
 @dataclass
 class Model:
-    """table: a number for each n-gram bucket; slope, size and base: the map from strongest word to log odds."""
+    """table: a number for each n-gram bucket; coef: the map from strongest words and word count to log odds."""
 
     table: np.ndarray
     bias: float
-    slope: float = 1.0
-    size: float = 0.0
-    base: float = 0.0
+    coef: np.ndarray
 
-    def evidence(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Log odds of each text's strongest word (``bias`` if it has none), and the log of its word count plus 1."""
+    def evidence(self, texts: list[str]) -> np.ndarray:
+        """Log odds of each text's strongest words (``bias`` where it has none left), and the log of its word count plus 1."""
         points, starts = code_points(["", *(t.lower() for t in texts)])
         s, odds = _log_odds(self.table, points)
         first = np.searchsorted(s, starts[1:])
-        n = np.diff(first)
-        best = np.zeros(len(texts))
-        if full := np.flatnonzero(n).tolist():
-            best[full] = np.maximum.reduceat(odds, first[:-1][full])
-        return best + self.bias, np.log1p(n)
+        return np.column_stack([_strongest(odds, first, 0.0) + self.bias, np.log1p(np.diff(first))])
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        best, size = self.evidence(texts)
-        return 1 / (1 + np.exp(-np.clip(self.slope * best + self.size * size + self.base, -500, 500)))
+        z = self.evidence(texts) @ self.coef[:-1] + self.coef[-1]
+        return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
 def fit_embeddings(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Model:
@@ -174,7 +187,7 @@ def fit_embeddings(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Model:
             b -= RATE * db / np.sqrt(gb)
     table = np.zeros(BUCKETS, np.float32)
     table[used] = E @ (W[:, 1] - W[:, 0])
-    return Model(table, float(b[1] - b[0]))
+    return Model(table, float(b[1] - b[0]), np.zeros(TOP + 2))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -195,18 +208,18 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray) -> Model:
     """A model from labelled texts; ``weight``: how many labelled rows each stands for."""
     if len(set(toxic.tolist())) < 2:
         share = float(toxic.mean()) if len(toxic) else 0.0
-        return Model(np.zeros(BUCKETS, np.float32), 0.0, 0.0, 0.0, float(np.log((share + 1e-3) / (1 - share + 1e-3))))
+        return Model(np.zeros(BUCKETS, np.float32), 0.0, np.array([0.0] * (TOP + 1) + [np.log((share + 1e-3) / (1 - share + 1e-3))]))
     fold = np.arange(len(texts)) % FOLDS
     for label in (0, 1):
         fold[toxic == label] = np.arange((toxic == label).sum()) % FOLDS
-    out = np.zeros((len(texts), 2))
+    out = np.zeros((len(texts), TOP + 1))
     for k in range(FOLDS):
         rest = np.flatnonzero(fold != k)
         part = fit_embeddings([texts[i] for i in rest], toxic[rest])
         own = np.flatnonzero(fold == k)
-        out[own] = np.column_stack(part.evidence([texts[i] for i in own]))
+        out[own] = part.evidence([texts[i] for i in own])
     model = fit_embeddings(texts, toxic)
-    model.slope, model.size, model.base = map(float, _logistic(out, toxic, weight))
+    model.coef = _logistic(out, toxic, weight)
     return model
 
 
