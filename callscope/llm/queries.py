@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callscope.llm import bpe, langid, mixing, quality, simhash, tokenfile, toxicity, vectors, warc
+from callscope.llm import bpe, html, langid, mixing, quality, simhash, tokenfile, toxicity, vectors, warc
 from callscope.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest, dictionary = tokenfile.write_ids(table(spark, sf_dir, "documents"))
     return tokenfile.read_ids(manifest, dictionary, with_ids=False)
@@ -47,6 +51,6 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_quality, op4_bpe, op5_language, op7_tokenfile, op8_mixing, op9_warc, op10_vectors)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_quality, op4_bpe, op5_language, op6_html, op7_tokenfile, op8_mixing, op9_warc, op10_vectors)}
 
 ORACLES: dict[str, str] = {"op3_quality": quality.oracle(), "op8_mixing": mixing.ORACLE, "op9_warc": warc.ORACLE}
