@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callscope.llm.common import slices
+from callscope.llm.common import map_arrow, slices
 
 #: Longest pattern match, in bytes, that is encoded in one go.
 LEAF = 4096
@@ -173,7 +173,7 @@ def encode_ids(rows: DataFrame, path: str | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.array(ids, pa.binary())], [*rest, "ids"])
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text"]
-    return rows.mapInArrow(run, ", ".join([*kinds, "ids binary"]))
+    return map_arrow(rows, run, ", ".join([*kinds, "ids binary"]))
 
 
 def decode_ids(rows: DataFrame, path: str | None = None) -> DataFrame:
@@ -189,7 +189,7 @@ def decode_ids(rows: DataFrame, path: str | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.array(text, pa.string())], [*rest, "text"])
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "ids"]
-    return rows.mapInArrow(run, ", ".join([*kinds, "text string"]))
+    return map_arrow(rows, run, ", ".join([*kinds, "text string"]))
 
 
 def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -213,4 +213,4 @@ def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_arrow(rows, run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

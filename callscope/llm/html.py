@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callscope.llm.common import slices
+from callscope.llm.common import map_arrow, slices
 
 #: Elements whose content is no markup, up to their end tag or the page's end.
 _RAW = "script|style|textarea|title|iframe|noscript|xmp|noembed|noframes|template"
@@ -294,5 +294,5 @@ def extract(pages: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(text, pa.string())], ["page_id", "url", "text"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    found = rows.mapInArrow(run, f"page_id {kind}, url string, text string")
+    found = map_arrow(rows, run, f"page_id {kind}, url string, text string")
     return found.withColumn("n_chars", F.length("text").cast("long"))

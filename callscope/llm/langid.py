@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callscope.llm.common import code_points, held_out, slices
+from callscope.llm.common import code_points, held_out, map_arrow, slices
 
 #: Characters of labelled text per language that are learned from at most; whole rows,
 #: but for a first row that alone is longer.
@@ -219,10 +219,10 @@ def identify(docs: DataFrame, chars: int = REFERENCE_CHARS) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(train(docs, chars))
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_run(model, None), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return map_arrow(rows, _run(model, None), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
 def drop_unknown(docs: DataFrame, threshold: float = KEEP_SCORE, chars: int = REFERENCE_CHARS) -> DataFrame:
     """The rows of ``docs`` in a language that is recognised with ``threshold`` at least, with all their columns."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, chars))
-    return docs.mapInArrow(_run(model, threshold), docs.schema)
+    return map_arrow(docs, _run(model, threshold), docs.schema)

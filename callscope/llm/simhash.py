@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callscope.llm.common import cut_hot, grouped, settle, slices, union_labels
+from callscope.llm.common import cut_hot, grouped, map_arrow, settle, slices, union_labels
 from callscope.llm.components import connected_components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
@@ -54,7 +54,7 @@ def fingerprints(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.array(fp.view(np.int64))], [*rest, "fp"])
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text"]
-    return rows.mapInArrow(run, ", ".join([*kinds, "fp long"]))
+    return map_arrow(rows, run, ", ".join([*kinds, "fp long"]))
 
 
 class BitPlanes:
@@ -161,7 +161,7 @@ def link_fingerprints(distinct: DataFrame, radius: int = RADIUS, blocks: int = B
             yield pa.RecordBatch.from_arrays([pa.array(fps[a]), pa.array(fps[b])], ["a", "b"])
 
     rows = rows.select("fp", *keys).repartition(*keys).sortWithinPartitions(*keys)
-    return rows.mapInArrow(run, "a long, b long")
+    return map_arrow(rows, run, "a long, b long")
 
 
 def simhash_components(fps: DataFrame, radius: int = RADIUS) -> DataFrame:

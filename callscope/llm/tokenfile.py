@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from callscope.llm import files
 from callscope.llm.bpe import default_tokenizer, tokenizer
-from callscope.llm.common import fresh_dir, settle, slices
+from callscope.llm.common import fresh_dir, map_arrow, settle, slices
 
 MAGIC = b"TOKZIDS1"
 HEAD, FOOT = struct.Struct("<8sB32s"), struct.Struct("<QQI8s")
@@ -141,7 +141,7 @@ def _samples(docs: DataFrame, path: str) -> list[bytes]:
                 some = [np.frombuffer(i, "<u4").astype(f"<u{_width(bpe)}").tobytes()[:SAMPLE_BYTES] for i in bpe.encode_batch(texts)]
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary())], ["ids"])
 
-    found = rows.mapInArrow(run, "ids binary").limit(2 * SAMPLE_DOCS).collect()
+    found = map_arrow(rows, run, "ids binary").limit(2 * SAMPLE_DOCS).collect()
     return sorted(bytes(r["ids"]) for r in found if r["ids"])
 
 
@@ -175,7 +175,7 @@ def write_ids(docs: DataFrame, path: str | None = None, folder: str | None = Non
 
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    manifest = settle(sorted_.mapInArrow(run, "file string, docs long, ids long, task int, seq int"))
+    manifest = settle(map_arrow(sorted_, run, "file string, docs long, ids long, task int, seq int"))
     before = W.orderBy("task", "seq").rowsBetween(W.unboundedPreceding, -1)  # a row per file
     return manifest.select("file", "docs", "ids", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("start")), where
 

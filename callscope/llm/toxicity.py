@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callscope.llm.common import code_points, held_out, slices
+from callscope.llm.common import code_points, held_out, map_arrow, slices
 
 #: Score from which a document counts as toxic.
 THRESHOLD = 0.3
@@ -269,10 +269,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     run = _run(docs.sparkSession, train(docs, labels), rows, False, threshold)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return map_arrow(rows, run, f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, with all their columns."""
     plain = docs.withColumn("text", F.col("text"))
-    return plain.mapInArrow(_run(docs.sparkSession, train(docs, labels), plain, True, threshold), docs.schema)
+    return map_arrow(plain, _run(docs.sparkSession, train(docs, labels), plain, True, threshold), docs.schema)

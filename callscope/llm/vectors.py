@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callscope.llm.common import cut_hot, grouped, settle, union_labels
+from callscope.llm.common import cut_hot, grouped, map_arrow, settle, union_labels
 from callscope.llm.components import connected_components
 
 THRESHOLD, RECALL, SEED = 0.98, 0.995, 17
@@ -79,7 +79,7 @@ def prepare(vectors: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("label"), pa.array(keys, pa.binary()), pa.array(dims, pa.int32()), pa.array(units, pa.binary())], ["vec_id", "label", "key", "dim", "unit"])
 
     kind = vectors.schema["vec_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"vec_id {kind}, label string, key binary, dim int, unit binary")
+    return map_arrow(rows, run, f"vec_id {kind}, label string, key binary, dim int, unit binary")
 
 
 def hashed(reps: DataFrame, planes: int, tables: int) -> DataFrame:
@@ -99,7 +99,7 @@ def hashed(reps: DataFrame, planes: int, tables: int) -> DataFrame:
                         ["label", "dim", "t", "sig", "s", "key", "unit", "n"],
                     )
 
-    return reps.select("label", "key", "dim", "unit", "n").mapInArrow(run, "label string, dim int, t int, sig long, s binary, key binary, unit binary, n long")
+    return map_arrow(reps.select("label", "key", "dim", "unit", "n"), run, "label string, dim int, t int, sig long, s binary, key binary, unit binary, n long")
 
 
 def _compare(part: pa.Table, starts: np.ndarray, threshold: float, tile: int = 512):
@@ -161,13 +161,13 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
             yield pa.RecordBatch.from_arrays([key.take(pa.array(some)), pa.array(count[some]), pa.nulls(len(some), pa.binary())], ["a", "n", "b"])
             yield pa.RecordBatch.from_arrays([key.take(pa.array(a)), pa.nulls(len(a), pa.int64()), key.take(pa.array(b))], ["a", "n", "b"])
 
-    found = settle(dealt.select(*keys, "c", "s", "key", "unit", "n").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a binary, n long, b binary"))
+    found = settle(map_arrow(dealt.select(*keys, "c", "s", "key", "unit", "n").repartition(*keys).sortWithinPartitions(*keys), run, "a binary, n long, b binary"))
     links = found.where(F.col("n").isNotNull()).groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("near"))
     comp = connected_components(found.where(F.col("b").isNotNull()), "a", "b").withColumnRenamed("node", "key")
     joined = reps.select("key", "n", "least").join(links, "key", "left").join(comp, "key", "left")
     classed = settle(joined.select("key", "least", (F.col("n") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"), F.coalesce("component", "key").alias("class")))
     names = classed.groupBy("class").agg(F.min("least").alias("component_id"))
-    done = settle(classed.join(names, "class").select("key", "n_links", "component_id"))
+    done = settle(classed.join(settle(names), "class").select("key", "n_links", "component_id"))
     linked = rows.select("vec_id", "key").join(done, "key").select("vec_id", "n_links", "component_id")
     # Rows that prepare() left out, by the same conditions: alone.
     alone = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callscope.llm import files
-from callscope.llm.common import fresh_dir, settle, slices
+from callscope.llm.common import fresh_dir, map_arrow, settle, slices
 
 MAGIC = b"\x1f\x8b\x08"
 #: Payloads of fewer bytes are always written in full.
@@ -91,7 +91,7 @@ def write_warc(pages: DataFrame, folder: str | None = None, min_bytes: int = MIN
         if done:
             yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done]), pa.array([d[1] for d in done], pa.int64())], ["file", "size"])
 
-    return settle(full.mapInArrow(run, "file string, size long"))
+    return settle(map_arrow(full, run, "file string, size long"))
 
 
 class _Window:
