@@ -58,7 +58,7 @@ def held_out(doc_id) -> F.Column:
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
     """``df.mapInArrow`` with batches of at most ``BATCH_BYTES``, or of one row: rows may be long, and a worker holds a few batches."""
     name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
-    now = conf.get(name, "").removesuffix("b")
+    now = conf.get(name).lower().removesuffix("b")
     if not now.isdigit() or int(now) > BATCH_BYTES:
         conf.set(name, str(BATCH_BYTES))
     return df.mapInArrow(run, schema)
