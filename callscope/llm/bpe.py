@@ -1,11 +1,9 @@
 """Byte-level BPE encoding and decoding, with tree concatenation for long unsplit text.
 
-A text is cut where a white-space character follows any other: no alternative of the
-splitting pattern crosses such a place or looks past it from the left, so the ids of the
-pieces, put together, are the ids of the text.  Pieces repeat, so each worker keeps a
-bounded cache of them.
-
-A piece with no such cut inside can be arbitrarily long.  Its pattern matches that
+A text without long runs is encoded in one go.  Any other is cut where a white-space
+character follows any other: no alternative of the splitting pattern crosses such a place
+or looks past it from the left, so the ids of the pieces, put together, are the ids of the
+text.  A piece with no such cut inside can be arbitrarily long.  Its pattern matches that
 exceed ``LEAF`` bytes are encoded by tree concatenation: both halves are encoded (in
 parallel), then a growing window around the join is encoded anew until its first and
 its last token equal those of the two sides.  A sequence of tokens is the encoding of
@@ -31,12 +29,12 @@ from callscope.llm.common import map_arrow, slices
 
 #: Longest pattern match, in bytes, that is encoded in one go.
 LEAF = 4096
-#: Pieces held in a worker's cache before it starts anew.
-CACHE = 250_000
 #: Tokens on each side of a join in the first window.
 WINDOW = 8
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_PIECE = re.compile(r"\s*\S+|\s+")
+#: The characters that the pattern's white space stands for (fixed values: Unicode's White_Space).
+_WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_PIECE = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
 
 
 def default_tokenizer() -> str:
@@ -65,15 +63,13 @@ class ByteBpe:
         chars = _byte_chars()
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         vocab = {bytes(chars[c] for c in k): v for k, v in spec["model"]["vocab"].items() if k not in added}
-        self.bytes_of = {v: k for k, v in vocab.items()} | {v: k.encode() for k, v in added.items()}
-        self.bpe = tiktoken.Encoding(Path(path).stem, pat_str=PATTERN, mergeable_ranks=vocab, special_tokens={})
-        self.match = regex.compile(PATTERN)
+        self.bytes_of = {v: k for k, v in vocab.items()}
+        self.bpe = tiktoken.Encoding(Path(path).stem, pat_str=PATTERN, mergeable_ranks=vocab, special_tokens=added)
+        self.match = regex.compile(PATTERN.replace(r"[^\s", f"[^{_WHITE}").replace(r"\s", f"[{_WHITE}]").replace(r"\S", f"[^{_WHITE}]"))
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.added = {k: np.array([v], "<u4").tobytes() for k, v in added.items()}
-        self.lengths = np.zeros(max(self.bytes_of) + 1, np.int64)
-        for k, v in self.bytes_of.items():
-            self.lengths[k] = len(v)
-        self.leaf, self.cache, self.pool = leaf, {}, None
+        self.size = self.bpe.n_vocab
+        self.leaf, self.pool = leaf, None
 
     def _leaves(self, data: bytes) -> list[bytes]:
         n = 1
@@ -110,49 +106,33 @@ class ByteBpe:
             ids += self.tree(data) if len(data) > self.leaf else self.bpe._encode_single_piece(data)
         return ids
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Put the ids of the pieces in the cache."""
-        small = self.leaf // 4
-        short = []
-        for p in pieces:
-            if len(p) > small:
-                self.cache[p] = np.array(self._long(p), "<u4").tobytes()
-            elif p[0] == " " and not p[-1].isspace():
-                short.append(p)  # these can be encoded as one text: no match crosses their borders
-            else:
-                self.cache[p] = np.array(self.bpe.encode_ordinary(p), "<u4").tobytes()
-        if short:
-            ids = np.array(self.bpe.encode_ordinary("".join(short)), "<u4")
-            ends = np.cumsum(self.lengths[ids])
-            cuts = np.searchsorted(ends, np.cumsum([len(p.encode("utf-8")) for p in short])) + 1
-            data, at = ids.tobytes(), 0
-            for p, to in zip(short, (cuts * 4).tolist(), strict=True):
-                self.cache[p] = data[at:to]
-                at = to
-
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = []
-        for text in texts:
-            if self.special and self.special.search(text):
-                parts = self.special.split(text)
-                cut.append([p for x in parts for p in ([x] if x in self.added else _PIECE.findall(x))])
-            else:
-                cut.append(_PIECE.findall(text))
-        if len(self.cache) > CACHE or not self.cache:
-            self.cache = dict(self.added)
-        new = set(chain.from_iterable(cut)).difference(self.cache)
-        if new:
-            self._learn(sorted(new))
-        found = self.cache.__getitem__
-        return [b"".join(map(found, pieces)) for pieces in cut]
+    def _long_runs(self, text: str) -> bool:
+        """Whether a run of one kind may exceed ``LEAF`` bytes: it would fill one of these blocks."""
+        step = max(self.leaf // 8, 1)
+        for k in range(0, len(text) - step + 1, step):
+            first = text[k : k + step].split(None, 1)
+            if not first or len(first[0]) == step:
+                return True
+        return False
+
+    def _plain(self, text: str) -> bytes:
+        if self._long_runs(text):
+            ids = list(chain.from_iterable(map(self._long, _PIECE.findall(text))))
+        else:
+            ids = self.bpe.encode_ordinary(text)
+        return np.array(ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        return self.encode_batch([text])[0]
+        """Ids of a text as little-endian unsigned 32-bit integers."""
+        if self.special and self.special.search(text):
+            return b"".join(self.added.get(x) or self._plain(x) for x in self.special.split(text))
+        return self._plain(text)
+
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        return [self.encode(t) for t in texts]
 
     def decode(self, ids: bytes) -> str:
-        of = self.bytes_of
-        return b"".join(map(of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+        return self.bpe.decode_bytes(np.frombuffer(ids, "<u4").tolist()).decode("utf-8", "replace")
 
 
 @lru_cache(2)

@@ -41,7 +41,7 @@ FILE_BYTES = 64 << 20
 
 
 def _width(bpe) -> int:
-    return 2 if len(bpe.lengths) <= 1 << 16 else 4
+    return 2 if bpe.size <= 1 << 16 else 4
 
 
 def train_dictionary(samples: list[bytes]) -> bytes:
