@@ -33,7 +33,7 @@ REFERENCE_ROWS = 64
 ALPHABET = 63
 BLOCK = 2048
 #: Score below which a document's language counts as unknown where documents are rejected.
-KEEP_SCORE = 0.3
+KEEP_SCORE = 0.1
 UNKNOWN = "und"
 
 
