@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from callscope.functions.identity import is_repository_path, normalize_path
 from callscope.functions.text import is_supported
+from callscope.operators.checkpoints import cut
 from callscope.operators.graph import Graph
 from callscope.operators.resolve import ambiguous_names, call_table, resolve
 from callscope.schema import EXTERNAL, FUNCTION
@@ -81,7 +82,7 @@ def apply_change_set(g: Graph, files: DataFrame, functions: DataFrame, sites: Da
     others = g.functions.join(at, ["repo_name", "file_path"], "left_anti")
     definitions = others.select("repo_name", "entity_id", "file_path", "qualified_name", "name").where(F.col("entity_id").isNotNull() & F.col("name").isNotNull() & F.col("qualified_name").isNotNull() & F.col("file_path").isNotNull())
     new = functions.dropDuplicates(["repo_name", "entity_id"]).join(changed.withColumnRenamed("path", "file_path"), ["repo_name", "file_path"], "left_semi")
-    resolved = resolve(sites, definitions.unionByName(new.select(*definitions.columns)))
+    resolved = cut(resolve(sites, definitions.unionByName(new.select(*definitions.columns))))  # read three times
     new = new.drop("ambiguous_calls").join(ambiguous_names(resolved).withColumnRenamed("caller_id", "entity_id"), ["repo_name", "entity_id"], "left")
     new = new.withColumn("ambiguous_calls", F.coalesce("ambiguous_calls", F.array().cast("array<string>")))
     old = g.functions.join(at, ["repo_name", "file_path"], "left_semi").select("repo_name", "entity_id", F.col("leiden_community").alias("_was"))
