@@ -15,6 +15,7 @@ from callscope.sources import files
 from callscope.streaming import push
 
 DIMENSIONS = 64
+WINDOW_LIMIT = graph.WINDOW_LIMIT
 
 
 class Engine:
@@ -131,7 +132,7 @@ class Engine:
         row = graph.node_code(self.graph(repo), entity_id).first()
         return row.asDict() if row else None
 
-    def graph_window(self, repo: str, limit: int = graph.WINDOW_LIMIT) -> DataFrame:
+    def graph_window(self, repo: str, limit: int = WINDOW_LIMIT) -> DataFrame:
         return graph.window(self.graph(repo), limit)
 
     def context_metrics(self, repo: str, context: str) -> dict:
