@@ -27,11 +27,14 @@ from callscope.llm.common import map_arrow, slices
 
 #: Elements whose content is no markup, up to their end tag or the page's end.
 _RAW = "script|style|textarea|title|iframe|noscript|xmp|noembed|noframes|template"
+#: Attributes: a quoted value may hold brackets if it is short, so a quote that is never closed costs little.
+_ATTRS = r"""(?:[^<>"']++|"[^"]{0,1000}+"|'[^']{0,1000}+'|["'])*+"""
 _TOKEN = re.compile(
-    rf"<!--[\s\S]*?(?:--!?>|\Z)"
-    rf"|<(?:{_RAW})(?=[\s/>])(?:[^>\"']++|\"[^\"<]*+\"|'[^'<]*+'|[\"'])*+>[\s\S]*?(?:</(?:{_RAW})\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"<]*+\"|'[^'<]*+'|[\"'])*+)>"
+    r"<!--[\s\S]*?(?:--!?>|\Z)"
+    rf"|<(?P<raw>{_RAW})(?=[\s/>]){_ATTRS}>[\s\S]*?(?:</(?P=raw)\s*>|\Z)"
+    rf"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/<>]*)(?P<attrs>{_ATTRS})>"
     r"|<[!?/][^>]*(?:>|\Z)"
+    r"|<[a-zA-Z][^<>]*\Z"
     r"|(?P<text>(?:[^<]++|<(?![a-zA-Z!?/]))+)"
     r"|<",
     re.IGNORECASE,

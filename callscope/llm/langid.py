@@ -22,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callscope.llm.common import code_points, held_out, map_arrow, slices
+from callscope.llm.common import code_points, held_out, map_arrow, settle, slices
 
 #: Characters of labelled text per language that are learned from at most; whole rows,
 #: but for a first row that alone is longer.
 REFERENCE_CHARS = 20_000
 #: Rows per language among which those are looked for: those with the least hashes.
 REFERENCE_ROWS = 64
+#: Picked rows (a name and a number each) up to which they are broadcast; beyond, the join is left to the planner.
+BROADCAST_ROWS = 100_000
 #: Different characters told apart, those most frequent in the references; others are one.
 ALPHABET = 63
 BLOCK = 2048
@@ -53,7 +55,11 @@ def _letter_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def automaton(text: list[int], width: int) -> np.ndarray:
-    """Completed suffix automaton: entry (state, character) is 2 * next state, plus 1 if a phrase ended before the character."""
+    """Completed suffix automaton: entry (state, character) is 4 * next state, plus the phrases that end with the step.
+
+    Where no longer match exists, the phrase so far ends and the character begins the next;
+    a character that the text lacks is a phrase by itself.
+    """
     n = 2 * len(text) + 2
     nxt: list[dict[int, int]] = [{}]
     link, length = [-1], [0]
@@ -84,12 +90,12 @@ def automaton(text: list[int], width: int) -> np.ndarray:
     assert len(nxt) <= n
     root = np.zeros(width, np.int32)
     for c, s in nxt[0].items():
-        root[c] = 2 * s
-    out = np.tile(root + 1, (len(nxt), 1))
+        root[c] = 4 * s
+    out = np.tile(root + 1 + (root == 0), (len(nxt), 1))
+    out[0] = root + (root == 0)  # nothing is matched here that could end
     for s, d in enumerate(nxt):
         if d:
-            out[s, list(d)] = 2 * np.fromiter(d.values(), np.int32, len(d))
-    # At the root nothing has been matched: a known character starts a phrase that is counted when it ends, an unknown one is a phrase.
+            out[s, list(d)] = 4 * np.fromiter(d.values(), np.int32, len(d))
     return out
 
 
@@ -119,16 +125,17 @@ class Model:
         order = np.argsort(-size, kind="stable")
         doc, at, size = doc[order], at[order], size[order]
         live = np.searchsorted(-size, -np.arange(BLOCK), "left")  # blocks longer than each step
-        width = np.int32(self.tables.shape[1])
+        whole = np.int32 if self.tables.size < 1 << 31 else np.int64
+        width = whole(self.tables.shape[1])
         flat = self.tables.ravel()
-        root = self.base.astype(np.int32)
+        root = self.base.astype(whole)
         state = np.tile(root, (len(doc), 1))
         ended = np.zeros((len(doc), len(root)), np.int32)
         for step in range(int(size[0]) if len(size) else 0):
             m = live[step]
             got = flat[state[:m] * width + chars[at[:m] + step][:, None]]
-            ended[:m] += got & 1
-            state[:m] = (got >> 1) + root
+            ended[:m] += got & 3
+            state[:m] = (got >> 2) + root
         ended += state != root  # the phrase that the block's end cuts
         np.add.at(count, doc, ended)
         return count, n, n > 0
@@ -188,7 +195,8 @@ def train(docs: DataFrame, chars: int = REFERENCE_CHARS, rows: int = REFERENCE_R
     h = F.xxhash64("doc_id", F.lit("reference"))
     # The least hash in each of ``rows`` parts of a language: aggregated on narrow rows, no text.
     pick = known.where(F.length("text") > 0).groupBy("lang", F.pmod(h, F.lit(rows)).alias("part")).agg(F.min(h).alias("h")).select("lang", "h")
-    text = known.select("lang", h.alias("h"), "text").join(F.broadcast(pick), ["lang", "h"])
+    pick = settle(pick)
+    text = known.select("lang", h.alias("h"), "text").join(F.broadcast(pick) if pick.count() <= BROADCAST_ROWS else pick, ["lang", "h"])
     found: dict[str, list] = {}
     for r in text.distinct().collect():
         found.setdefault(r["lang"], []).append((r["h"], r["text"]))

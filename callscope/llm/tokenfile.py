@@ -92,11 +92,15 @@ class Reader:
         store, path = files.locate(uri)
         self.file = store.open_input_file(path)
         size = self.file.size()
+        if size < HEAD.size + FOOT.size:
+            raise ValueError(f"{uri} is no whole file of ids")
         magic, self.width, digest = HEAD.unpack(self.file.read_at(HEAD.size, 0))
         at, n, crc, tail = FOOT.unpack(self.file.read_at(FOOT.size, size - FOOT.size))
-        index = self.file.read_at(size - FOOT.size - at, at)
-        if magic != MAGIC or tail != MAGIC or zlib.crc32(index) != crc:
+        if magic != MAGIC or tail != MAGIC or not HEAD.size <= at <= size - FOOT.size:
             raise ValueError(f"{uri} is no whole file of ids")
+        index = self.file.read_at(size - FOOT.size - at, at)
+        if zlib.crc32(index) != crc:
+            raise ValueError(f"{uri} has a broken index")
         if digest != hashlib.sha256(dictionary).digest():
             raise ValueError(f"{uri} was written with another dictionary")
         known = np.frombuffer(index, np.uint8, n, 8 * n)
