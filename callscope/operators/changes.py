@@ -77,9 +77,10 @@ def apply_change_set(g: Graph, files: DataFrame, functions: DataFrame, sites: Da
     """
     changed = files.select("repo_name", "path").distinct()
     gone = deleted.select("repo_name", "path").distinct().join(changed, ["repo_name", "path"], "left_anti")
-    affected = changed.unionByName(gone)
+    affected = cut(changed.unionByName(gone))
     at = affected.withColumnRenamed("path", "file_path")
     others = g.functions.join(at, ["repo_name", "file_path"], "left_anti")
+    ids_left = cut(others.select("repo_name", "entity_id"))  # narrow: code and vectors are read once, by whoever reads the result
     definitions = others.select("repo_name", "entity_id", "file_path", "qualified_name", "name").where(F.col("entity_id").isNotNull() & F.col("name").isNotNull() & F.col("qualified_name").isNotNull() & F.col("file_path").isNotNull())
     new = functions.dropDuplicates(["repo_name", "entity_id"]).join(changed.withColumnRenamed("path", "file_path"), ["repo_name", "file_path"], "left_semi")
     resolved = cut(resolve(sites, definitions.unionByName(new.select(*definitions.columns))))  # read three times
@@ -88,8 +89,8 @@ def apply_change_set(g: Graph, files: DataFrame, functions: DataFrame, sites: Da
     old = g.functions.join(at, ["repo_name", "file_path"], "left_semi").select("repo_name", "entity_id", F.col("leiden_community").alias("_was"))
     new = new.drop("leiden_community").join(old, ["repo_name", "entity_id"], "left").withColumnRenamed("_was", "leiden_community")  # until clusters are found anew
     all_functions = others.unionByName(new.select(*others.columns))
-    kept = g.calls.join(others.select("repo_name", F.col("entity_id").alias("caller_id")), ["repo_name", "caller_id"], "left_semi")
-    ids = all_functions.select("repo_name", F.col("entity_id").alias("target_key"))
+    kept = g.calls.join(ids_left.select("repo_name", F.col("entity_id").alias("caller_id")), ["repo_name", "caller_id"], "left_semi")
+    ids = ids_left.unionByName(new.select("repo_name", "entity_id")).select("repo_name", F.col("entity_id").alias("target_key"))
     inside = kept.where(F.col("target_kind") == FUNCTION).join(ids, ["repo_name", "target_key"], "left_semi")
     calls = inside.unionByName(kept.where(F.col("target_kind") == EXTERNAL)).unionByName(call_table(resolved))
     called = calls.where(F.col("target_kind") == EXTERNAL).select("repo_name", F.col("target_key").alias("name")).distinct()

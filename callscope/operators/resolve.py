@@ -4,9 +4,11 @@ A name is looked up in the caller's lexical scopes, innermost first, then in its
 then in its repository.  The first tier with any match decides: one match is a link, more
 are ambiguous and no lower tier is asked.  Without a match the callee is external.
 
-The outcome depends on caller and name only, so sites are summed up to these first; the
-three indexes hold one row per key, so each join keeps its left side's size, and a popular
-name makes a hot key only on the side that Spark can split.
+The outcome depends on caller and name only, so sites are summed up to these first.  Two
+indexes hold one row per key, so each join keeps its left side's size, and a popular name
+makes a hot key only on the side that Spark can split.  The first is keyed by file and
+name and lists the qualified names that end so: as every scope's candidate ends with the
+name, the scopes are tried inside the row, without a join each.
 """
 
 from __future__ import annotations
@@ -30,6 +32,17 @@ def candidates(qualified_name, name):
     return F.transform(F.sequence(F.size(scope), F.lit(0), F.lit(-1)), lambda d: F.concat_ws(".", F.slice(scope, F.lit(1), d), F.array(name)))
 
 
+def file_index(definitions: DataFrame) -> DataFrame:
+    """Per file and name: ``scoped``, the qualified names that end with it, and ``m1``, the definitions of the name (null if none)."""
+    parts = F.split("qualified_name", r"\.")
+    tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.concat_ws(".", F.slice(parts, k, F.size(parts))))
+    each = definitions.select("repo_name", "file_path", "qualified_name", "entity_id", F.col("name").alias("own"), F.explode(F.array_union(tails, F.array("name"))).alias("name"))
+    named = F.when(F.col("own") == F.col("name"), F.col("entity_id"))
+    per = each.groupBy("repo_name", "file_path", "name", "qualified_name").agg(F.count(F.lit(1)).alias("matches"), F.min("entity_id").alias("target_id"), F.count(named).alias("n1"), F.min(named).alias("id1"))
+    whole = per.groupBy("repo_name", "file_path", "name").agg(F.collect_list(F.struct("qualified_name", "matches", "target_id")).alias("scoped"), F.sum("n1").alias("n1"), F.min("id1").alias("id1"))
+    return whole.select("repo_name", "file_path", "name", "scoped", F.when(F.col("n1") > 0, F.struct(F.col("n1").alias("matches"), F.col("id1").alias("target_id"))).alias("m1"))
+
+
 def sites_of(functions: DataFrame) -> DataFrame:
     """Call sites of parsed functions (repo_name, entity_id, file_path, qualified_name, calls): a row each, in source order."""
     each = functions.select("repo_name", F.col("entity_id").alias("caller_id"), "file_path", "qualified_name", F.posexplode(F.transform("calls", lambda c: c["name"])).alias("ordinal", "name"))
@@ -46,14 +59,13 @@ def resolve(sites: DataFrame, definitions: DataFrame) -> DataFrame:
     """
     keys = ["repo_name", "caller_id", "file_path", "qualified_name", "name"]
     calls = sites.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_sites"), F.min("ordinal").alias("first_ordinal"))
-    scoped = calls.select("repo_name", "caller_id", "name", "file_path", F.posexplode(candidates(F.col("qualified_name"), F.col("name"))).alias("depth", "candidate"))
-    by_scope = index(definitions, "file_path", "qualified_name").withColumnRenamed("qualified_name", "candidate")
-    hits = scoped.join(by_scope, ["repo_name", "file_path", "candidate"])
-    nearest = hits.groupBy("repo_name", "caller_id", "name").agg(F.min_by(F.struct("matches", "target_id"), "depth").alias("m0"))
-    pack = lambda df, name: df.withColumn(name, F.struct("matches", "target_id")).drop("matches", "target_id")
-    found = calls.join(nearest, ["repo_name", "caller_id", "name"], "left")
-    found = found.join(pack(index(definitions, "file_path", "name"), "m1"), ["repo_name", "file_path", "name"], "left")
-    found = found.join(pack(index(definitions, "name"), "m2"), ["repo_name", "name"], "left")
+    found = calls.join(file_index(definitions), ["repo_name", "file_path", "name"], "left")
+    found = found.join(index(definitions, "name").select("repo_name", "name", F.struct("matches", "target_id").alias("m2")), ["repo_name", "name"], "left")
+    scopes = candidates(F.col("qualified_name"), F.col("name"))
+    hits = F.filter("scoped", lambda x: F.array_contains(scopes, x["qualified_name"]))
+    # Candidates lie inside each other, so the innermost has most parts.
+    ranked = F.transform(hits, lambda x: F.struct(F.size(F.split(x["qualified_name"], r"\.")).alias("depth"), x["matches"].alias("matches"), x["target_id"].alias("target_id")))
+    found = found.withColumn("m0", F.array_max(ranked))
     tier = F.coalesce(*(F.when(F.col(f"m{k}").isNotNull(), F.struct(F.lit(t).alias("resolution"), F.col(f"m{k}.matches").alias("matches"), F.col(f"m{k}.target_id").alias("target_id"))) for k, t in enumerate(TIERS)))
     found = found.withColumn("t", tier)
     return found.select(
@@ -84,10 +96,15 @@ def ambiguous_names(resolved: DataFrame) -> DataFrame:
 
 
 def call_table(resolved: DataFrame) -> DataFrame:
-    """Both kinds of edges in the columns of ``calls``."""
-    inside = internal_edges(resolved).select("repo_name", "caller_id", F.lit(FUNCTION).alias("target_kind"), F.col("target_id").alias("target_key"), "resolution", "call_count", "source_file")
-    outside = external_edges(resolved).select("repo_name", "caller_id", F.lit(EXTERNAL).alias("target_kind"), F.col("target_name").alias("target_key"), F.lit("external").alias("resolution"), "call_count", "source_file")
-    return inside.unionByName(outside)
+    """Both kinds of edges in the columns of ``calls``, in one pass."""
+    one = F.col("matches") == 1
+    rows = resolved.where(F.col("matches") <= 1).select(
+        "repo_name", "caller_id", F.when(one, FUNCTION).otherwise(EXTERNAL).alias("target_kind"), F.when(one, F.col("target_id")).otherwise(F.col("name")).alias("target_key"),
+        "resolution", "n_sites", "first_ordinal", "name", "file_path",
+    )
+    return rows.groupBy("repo_name", "caller_id", "target_kind", "target_key").agg(
+        F.min_by("resolution", F.struct("first_ordinal", "name")).alias("resolution"), F.sum("n_sites").alias("call_count"), F.min("file_path").alias("source_file")
+    )
 
 
 def resolve_flat(sites: DataFrame, definitions: DataFrame) -> DataFrame:
