@@ -55,51 +55,57 @@ def _signatures(unit: np.ndarray, planes: int, tables: int) -> np.ndarray:
     return side.reshape(len(unit), tables, planes) @ powers
 
 
+def _units(raw: list[bytes], dim: int) -> np.ndarray:
+    """Unit vectors in double precision from the bytes of floats or doubles."""
+    v = np.frombuffer(b"".join(raw), f"<f{len(raw[0]) // dim}").reshape(-1, dim).astype(np.float64)
+    v /= np.abs(v).max(axis=1, keepdims=True)  # no overflow in the squares
+    return v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
+
+
 def prepare(vectors: DataFrame) -> DataFrame:
-    """vec_id, label, key (16 bytes, equal for equal vectors of a label), dim, unit (float64 bytes): rows that may link."""
-    rows = vectors.select("vec_id", F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
+    """vec_id, label, key (16 bytes, equal for equal vectors of a label), dim, raw (its numbers as they came, floats or doubles): rows that may link."""
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select("vec_id", F.col("label").cast("string").alias("label"), F.col("embedding").cast(kind).alias("v"))
     rows = rows.where(F.col("label").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull()))
 
     def run(batches):
         for batch in batches:
             lists = batch.column("v")
             flat, offset = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-            keep, keys, dims, units = [], [], [], []
+            keep, keys, dims, raw = [], [], [], []
             for k, label in enumerate(batch.column("label").to_pylist()):
-                v = flat[offset[k] : offset[k + 1]] + 0.0  # no negative zeros
-                top = np.abs(v).max()
-                if not np.isfinite(top) or top == 0:
+                v = flat[offset[k] : offset[k + 1]] + flat.dtype.type(0)  # no negative zeros
+                if not np.isfinite(v).all() or not v.any():
                     continue
+                data = v.astype(v.dtype.newbyteorder("<")).tobytes()
                 keep.append(k)
-                keys.append(hashlib.md5(label.encode() + b"\0" + v.astype("<f8").tobytes()).digest())
-                v = v / top
+                keys.append(hashlib.md5(label.encode() + b"\0" + data).digest())
                 dims.append(len(v))
-                units.append((v / np.sqrt(v @ v)).astype("<f8").tobytes())
+                raw.append(data)
             part = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("label"), pa.array(keys, pa.binary()), pa.array(dims, pa.int32()), pa.array(units, pa.binary())], ["vec_id", "label", "key", "dim", "unit"])
+            yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("label"), pa.array(keys, pa.binary()), pa.array(dims, pa.int32()), pa.array(raw, pa.binary())], ["vec_id", "label", "key", "dim", "raw"])
 
     kind = vectors.schema["vec_id"].dataType.simpleString()
-    return map_arrow(rows, run, f"vec_id {kind}, label string, key binary, dim int, unit binary")
+    return map_arrow(rows, run, f"vec_id {kind}, label string, key binary, dim int, raw binary")
 
 
 def hashed(reps: DataFrame, planes: int, tables: int) -> DataFrame:
-    """A row per table of each of ``reps`` (label, key, dim, unit, n): g, the bucket, t, s (all signatures), key, unit, n."""
+    """A row per table of each of ``reps`` (label, key, dim, raw, n): t, its signature sig, s (all signatures), key, raw, n."""
 
     def run(batches):
         for batch in batches:
             dims = batch.column("dim").to_numpy()
             for dim in np.unique(dims):
                 part = batch.filter(pa.array(dims == dim))
-                unit = np.frombuffer(b"".join(part.column("unit").to_pylist()), "<f8").reshape(-1, dim)
-                sig = _signatures(unit, planes, tables)
+                sig = _signatures(_units(part.column("raw").to_pylist(), int(dim)), planes, tables)
                 packed = [s.tobytes() for s in sig.astype("<i8")]
                 for t in range(tables):
                     yield pa.RecordBatch.from_arrays(
-                        [part.column("label"), part.column("dim"), pa.array([t] * len(sig), pa.int32()), pa.array(sig[:, t]), pa.array(packed, pa.binary()), part.column("key"), part.column("unit"), part.column("n")],
-                        ["label", "dim", "t", "sig", "s", "key", "unit", "n"],
+                        [part.column("label"), part.column("dim"), pa.array([t] * len(sig), pa.int32()), pa.array(sig[:, t]), pa.array(packed, pa.binary()), part.column("key"), part.column("raw"), part.column("n")],
+                        ["label", "dim", "t", "sig", "s", "key", "raw", "n"],
                     )
 
-    return map_arrow(reps.select("label", "key", "dim", "unit", "n"), run, "label string, dim int, t int, sig long, s binary, key binary, unit binary, n long")
+    return map_arrow(reps.select("label", "key", "dim", "raw", "n"), run, "label string, dim int, t int, sig long, s binary, key binary, raw binary, n long")
 
 
 def _compare(part: pa.Table, starts: np.ndarray, threshold: float, tile: int = 512):
@@ -108,11 +114,12 @@ def _compare(part: pa.Table, starts: np.ndarray, threshold: float, tile: int = 5
     count, labels = np.zeros(n, np.int64), np.arange(n)
     weight, t = part.column("n").to_numpy(), part.column("t").to_numpy()
     own, ca, cb = (part.column(c).to_numpy() for c in ("c", "ca", "cb"))
-    units, sigs = part.column("unit").combine_chunks().to_pylist(), part.column("s").combine_chunks().to_pylist()
+    dims, raw = part.column("dim").to_numpy(), part.column("raw").combine_chunks().to_pylist()
+    sigs = part.column("s").combine_chunks().to_pylist()
     for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
         if b - a < 2:
             continue
-        v = np.frombuffer(b"".join(units[a:b]), "<f8").reshape(b - a, -1)
+        v = _units(raw[a:b], int(dims[a]))
         s = np.frombuffer(b"".join(sigs[a:b]), "<i8").reshape(b - a, -1)[:, : t[a]]
         across = ca[a] != cb[a]
         for i in range(0, b - a, tile):
@@ -146,7 +153,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
     null; other columns are ignored.
     """
     rows = settle(prepare(vectors))
-    reps = settle(rows.groupBy("key").agg(F.first("label").alias("label"), F.first("dim").alias("dim"), F.first("unit").alias("unit"), F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("least")))
+    reps = settle(rows.groupBy("key").agg(F.first("label").alias("label"), F.first("dim").alias("dim"), F.first("raw").alias("raw"), F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("least")))
     most = reps.groupBy("label").agg(F.count(F.lit(1)).alias("m")).agg(F.max("m")).first()[0] or 0
     planes, tables = layout(most, threshold, recall)
     keys = ["label", "dim", "t", "sig"]
@@ -161,7 +168,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
             yield pa.RecordBatch.from_arrays([key.take(pa.array(some)), pa.array(count[some]), pa.nulls(len(some), pa.binary())], ["a", "n", "b"])
             yield pa.RecordBatch.from_arrays([key.take(pa.array(a)), pa.nulls(len(a), pa.int64()), key.take(pa.array(b))], ["a", "n", "b"])
 
-    found = settle(map_arrow(dealt.select(*keys, "c", "s", "key", "unit", "n").repartition(*keys).sortWithinPartitions(*keys), run, "a binary, n long, b binary"))
+    found = settle(map_arrow(dealt.select(*keys, "c", "s", "key", "raw", "n").repartition(*keys).sortWithinPartitions(*keys), run, "a binary, n long, b binary"))
     links = found.where(F.col("n").isNotNull()).groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("near"))
     comp = connected_components(found.where(F.col("b").isNotNull()), "a", "b").withColumnRenamed("node", "key")
     joined = reps.select("key", "n", "least").join(links, "key", "left").join(comp, "key", "left")
