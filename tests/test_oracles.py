@@ -3,6 +3,8 @@
 import os
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
 from callscope.plans import registry
@@ -18,13 +20,16 @@ def tables():
     return con
 
 
+def shown(v):
+    """A value as text, null and numbers alike whatever column type holds them."""
+    if v is None or v is pd.NA or v != v:
+        return "null"
+    return str(round(float(v), 6)) if isinstance(v, (int, float, np.number)) and not isinstance(v, (bool, np.bool_)) else str(v)
+
+
 def rows(df):
     columns = sorted(df.columns)
-    shown = df[columns].copy()
-    for c in columns:
-        if shown[c].dtype.kind == "f":
-            shown[c] = shown[c].round(6)
-    return columns, sorted(map(tuple, shown.astype(str).itertuples(index=False)))
+    return columns, sorted(tuple(map(shown, r)) for r in df[columns].astype(object).itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
