@@ -26,19 +26,13 @@ from pyspark.sql import functions as F
 from callscope.llm.common import map_arrow, slices
 
 #: Elements whose content is no markup, up to their end tag or the page's end.
-_RAW = "script|style|textarea|title|iframe|noscript|xmp|noembed|noframes|template"
-#: Attributes: a quoted value may hold brackets if it is short, so a quote that is never closed costs little.
-_ATTRS = r"""(?:[^<>"']++|"[^"]{0,1000}+"|'[^']{0,1000}+'|["'])*+"""
-_TOKEN = re.compile(
-    r"<!--[\s\S]*?(?:--!?>|\Z)"
-    rf"|<(?P<raw>{_RAW})(?=[\s/>]){_ATTRS}>[\s\S]*?(?:</(?P=raw)\s*>|\Z)"
-    rf"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/<>]*)(?P<attrs>{_ATTRS})>"
-    r"|<[!?/][^>]*(?:>|\Z)"
-    r"|<[a-zA-Z][^<>]*\Z"
-    r"|(?P<text>(?:[^<]++|<(?![a-zA-Z!?/]))+)"
-    r"|<",
-    re.IGNORECASE,
-)
+_RAW = frozenset("script style textarea title iframe noscript xmp noembed noframes template".split())
+_TOKEN = re.compile(r"<!--[\s\S]*?(?:--!?>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/<>]*)|(?P<text>(?:[^<]++|<(?![a-zA-Z!?/]))+)|<[!?/][^>]*(?:>|\Z)|<")
+#: What begins with a name but is no whole tag.
+_BROKEN = re.compile(r"</[^>]*(?:>|\Z)|<[a-zA-Z][^<>]*\Z|<")
+#: What ends a run of attributes, and a quote that opens a value.
+_STOP = re.compile(r"[<>]|=\s*+[\"']")
+_END_RAW = {name: re.compile(rf"</{name}\s*>|\Z", re.IGNORECASE) for name in _RAW}
 _ATTR = re.compile(r"\b(?:class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _SPLIT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -66,6 +60,51 @@ _HINTS = BOILER_HINTS | MAIN_HINTS
 _ITEMS = frozenset("li dd dt td th option".split())
 
 
+def _tag_end(html: str, at: int, failed: set[int], last: dict[str, int]) -> int:
+    """Where the tag whose attributes begin at ``at`` has its >, or -1: quoted values of any length may hold brackets.
+
+    A quote that is never closed is a character.  ``failed`` (quotes after which no end
+    came) and ``last`` (quotes that are never closed) keep all scans of a page linear.
+    """
+    seen = []
+    while (m := _STOP.search(html, at)) and m[0] != "<":
+        if m[0] == ">":
+            return m.start()
+        q = m.end() - 1
+        if q in failed:
+            break
+        seen.append(q)
+        to = -1 if q >= last.get(html[q], len(html)) else html.find(html[q], q + 1)
+        if to < 0:
+            last[html[q]] = min(q, last.get(html[q], q))
+        at = max(q, to) + 1
+    failed.update(seen)
+    return -1
+
+
+def _tokens(html: str):
+    """(text, None, whether it ends an element, attributes) of each text, (None, name, ...) of each tag, (whole, "", ...) of each comment."""
+    at, failed, last = 0, set(), {}
+    while at < len(html):
+        m = _TOKEN.match(html, at)
+        if (name := m["name"]) is None:
+            at = m.end()
+            if m["text"] is not None:
+                yield m[0], None, False, ""
+            elif m[0].startswith("<!--"):
+                yield m[0], "", False, ""
+            continue
+        to = _tag_end(html, m.end(), failed, last)
+        if to < 0:
+            at = _BROKEN.match(html, at).end()
+            continue
+        name, at = name.lower(), to + 1
+        if name in _RAW and not m["end"]:
+            at = _END_RAW[name].search(html, at).end()
+        else:
+            yield None, name, bool(m["end"]), html[m.end() : to]
+
+
 def _marks(attrs: str) -> tuple[bool, bool]:
     """Whether class, id or role mark an element as boilerplate, and as main."""
     if "=" not in attrs:
@@ -129,22 +168,20 @@ class Page:
             self.main.append(span)
             self.label.append(inside)
 
-        for m in _TOKEN.finditer(html):
-            if (text := m["text"]) is not None:
+        for text, name, end, attrs in _tokens(html):
+            if name is None:
                 text = _html.unescape(text)
                 n = len(text.split())
                 where = "boiler" if boiler else "link" if links else "heading" if heading else "item" if item else "plain"
                 piece(f"w:{where}:{mains > 0}", n, text)
                 continue
-            name = m["name"]
-            if name is None:
-                if m[0] in ("<!--[-->", "<!--]-->"):  # labelled pages only
-                    inside = m[0] == "<!--[-->"
+            if not name:
+                if text in ("<!--[-->", "<!--]-->"):  # labelled pages only
+                    inside = text == "<!--[-->"
                 continue
-            name = name.lower()
             if name in BLOCK:
                 block += 1
-            if m["end"]:
+            if end:
                 piece("t:" + ("boiler" if boiler else name if name in BLOCK or name == "a" else "inline"), 0, " " if name in BLOCK else "")
                 if open_[name]:
                     close((name,))
@@ -153,7 +190,7 @@ class Page:
                 close(("p",), _SCOPE)
             if name in _ENDS_OWN and any(open_[x] for x in _ENDS_OWN[name]):
                 close(_ENDS_OWN[name], _SCOPE)
-            bad, good = _marks(m["attrs"])
+            bad, good = _marks(attrs)
             bad = name in BOILER or (bad and name not in ("html", "body", "article", "main"))
             if name == "header" and mains and not boiler:  # the heading of an article
                 bad = False
