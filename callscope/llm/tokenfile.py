@@ -20,6 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -132,6 +133,13 @@ def _load(uri: str) -> bytes:
     return files.read_bytes(uri)
 
 
+def _excerpt(ids: np.ndarray) -> bytes:
+    """Up to ``SAMPLE_BYTES`` of serialized ids, from a hashed place of the whole array."""
+    n, data = SAMPLE_BYTES // ids.itemsize, ids.tobytes()
+    at = xxhash.xxh64_intdigest(data) % (len(ids) - n + 1) if len(ids) > n else 0
+    return ids[at : at + n].tobytes()
+
+
 def _samples(docs: DataFrame, path: str) -> list[bytes]:
     """Serialized ids of the documents with the least hashes of their ids."""
     picked = docs.select("doc_id").where(F.col("doc_id").isNotNull()).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
@@ -141,8 +149,8 @@ def _samples(docs: DataFrame, path: str) -> list[bytes]:
         bpe = tokenizer(path)
         for batch in batches:
             for part in slices(batch, "text"):
-                texts = [(t or "")[: 4 * SAMPLE_BYTES] for t in part.column("text").to_pylist()]
-                some = [np.frombuffer(i, "<u4").astype(f"<u{_width(bpe)}").tobytes()[:SAMPLE_BYTES] for i in bpe.encode_batch(texts)]
+                texts = [t or "" for t in part.column("text").to_pylist()]
+                some = [_excerpt(np.frombuffer(i, "<u4").astype(f"<u{_width(bpe)}")) for i in bpe.encode_batch(texts)]
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary())], ["ids"])
 
     found = map_arrow(rows, run, "ids binary").limit(2 * SAMPLE_DOCS).collect()
