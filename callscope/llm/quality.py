@@ -1,17 +1,24 @@
 """Quality rules with risk-controlled thresholds, in DataFrame operations only.
 
 Two fixed base rules reject a document outright.  Beyond them, each rule of ``RULES``
-rejects what exceeds a cutoff, and the cutoffs are chosen per stratum (language) from a
-fixed grid so that false rejection is limited: a labelled holdout counts, for each cutoff,
-how many good documents it would reject, and a cutoff may be used only if the exact
-binomial (Clopper-Pearson) upper bound of that share stays within the rule's part of
-``RISK``.  The confidence is divided by the number of all tests (strata x rules x cutoffs),
-so with probability ``1 - DELTA`` no stratum loses more than ``RISK`` of its good documents.
-Of the cutoffs that pass, the strictest is used; where none does (too few labels), none is.
+rejects what exceeds a cutoff.  The cutoffs of all rules tighten together, level by level:
+a level is one cutoff of each rule, and rejects what exceeds any of them.  A labelled
+holdout decides, for each stratum (language), how far to go: it counts how many good
+documents a level would reject, and a level may be used only if the exact binomial
+(Clopper-Pearson) upper bound of that share stays within ``RISK``.
+
+The tests of a stratum are a fixed sequence from lenient to strict that ends at the first
+level that fails, so the number of levels costs no confidence; that is divided by the
+number of strata tested only.  A stratum whose holdout could certify nothing even without
+a single loss is not tested (that is known from its size alone) and uses the base rules.
+So with probability ``1 - DELTA`` no stratum loses more than ``RISK`` of its good documents
+to the cutoffs.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +29,7 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MOST_REPEATED = 50, 50
 #: Most good documents that a stratum may lose, and the chance that it loses more.
 RISK, DELTA = 0.02, 0.05
-#: Cutoffs of each rule, lenient last.  All values are shares in per cent, but for characters per word.
+#: Cutoffs of each rule, one for each level, lenient last.  All values are shares in per cent, but for characters per word.
 RULES = {
     "symbols": [5, 10, 15, 20, 30, 40, 50, 75, 100, 150, 200, 300],
     "exclaims": [5, 10, 15, 20, 30, 40, 50, 75, 100, 150, 200, 300],
@@ -99,13 +106,13 @@ def _values(n) -> dict[str, F.Column]:
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """doc_id, stratum, the base columns, base_failed, and for each rule the number of its cutoffs that the document exceeds."""
+    """doc_id, stratum, the base columns, base_failed, and over: the number of levels that reject the document."""
     parts = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("stratum"), base_columns(F.col("text")).alias("b"))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_exclaims", "n_lines"]
     rows = parts.select("doc_id", "stratum", *(F.col(f"b.lines.{n}" if "line" in n else f"b.{n}").alias(n) for n in names))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    levels = {f"over_{r}": sum((v > c).cast("int") for c in RULES[r]) for r, v in _values(F.col).items()}
-    return rows.withColumns({"base_failed": failed, **levels})
+    over = F.greatest(*(sum((v > c).cast("int") for c in RULES[r]) for r, v in _values(F.col).items()))
+    return rows.withColumns({"base_failed": failed, "over": over})
 
 
 def _log_gamma(x):
@@ -131,21 +138,30 @@ def binomial_tail(k, n, p: float):
     return F.when(k >= n * p, 1.0).when(k == 0, F.exp(log_p)).otherwise(F.least(F.lit(1.0), F.exp(log_p) * added))
 
 
+def least_holdout(risk: float = RISK, delta: float = DELTA) -> int:
+    """Good documents below which a stratum can certify nothing, even alone and without a loss."""
+    return math.ceil(math.log(delta) / math.log1p(-risk))
+
+
 def thresholds(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> tuple[DataFrame, int]:
-    """(stratum, and for each rule the number of cutoffs that may be exceeded, null where none is safe), and the number of strata.
+    """(stratum, most: the levels that a document may exceed, good: its holdout, lost: those of it that are rejected) of each tested stratum, and their number.
 
-    The holdout: documents marked with quality 1 that pass the base rules.
+    The holdout: documents marked with quality 1 that pass the base rules.  ``most`` is the
+    number of levels where not even the most lenient is safe.
     """
+    levels = len(next(iter(RULES.values())))
     good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
     held = measured.where(~F.col("base_failed")).join(good, "doc_id", "left_semi")
-    counts = [F.sum((F.col(f"over_{r}") > g).cast("long")).alias(f"{r}_{g}") for r, cuts in RULES.items() for g in range(len(cuts))]
-    counted = settle(held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *counts))
+    counts = [F.sum((F.col("over") > g).cast("long")).alias(f"k_{g}") for g in range(levels)]
+    counted = settle(held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *counts).where(F.col("n") >= least_holdout(risk, delta)))
     strata = counted.count()
-    tests = max(strata, 1) * sum(map(len, RULES.values()))
-    each = [F.struct(F.lit(r).alias("rule"), F.lit(g).alias("g"), F.col(f"{r}_{g}").cast("double").alias("k")) for r, cuts in RULES.items() for g in range(len(cuts))]
-    rows = settle(counted.select("stratum", F.col("n").cast("double").alias("n"), F.inline(F.array(*each))))
-    safe = rows.where(binomial_tail(F.col("k"), F.col("n"), risk / len(RULES)) <= delta / tests)
-    return safe.groupBy("stratum").agg(*(F.min(F.when(F.col("rule") == r, F.col("g"))).alias(f"most_{r}") for r in RULES)), strata
+    each = [F.struct(F.lit(g).alias("g"), F.col(f"k_{g}").alias("k")) for g in range(levels)]
+    rows = counted.select("stratum", "n", F.inline(F.array(*each)))
+    failed = binomial_tail(F.col("k").cast("double"), F.col("n").cast("double"), risk) > delta / max(strata, 1)
+    last = rows.withColumn("failed", failed).groupBy("stratum", "n").agg(F.coalesce(F.max(F.when(F.col("failed"), F.col("g"))), F.lit(-1)).alias("last"), F.collect_list(F.struct("g", "k")).alias("ks"))
+    most = F.col("last") + 1
+    lost = F.coalesce(F.get(F.transform(F.filter("ks", lambda x: x["g"] == most), lambda x: x["k"]), F.lit(0)), F.lit(0))
+    return last.select("stratum", most.alias("most"), F.col("n").alias("good"), lost.alias("lost")), strata
 
 
 def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
@@ -157,17 +173,15 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float =
     """
     measured = settle(measure(docs))
     found, strata = thresholds(measured, labels, risk, delta)
-    found = settle(found)
+    found = settle(found.select("stratum", "most"))
     rows = measured.join(F.broadcast(found) if strata <= BROADCAST_STRATA else found, "stratum", "left")
-    rejected = F.lit(False)
-    for r in RULES:
-        rejected = rejected | F.coalesce(F.col(f"over_{r}") > F.col(f"most_{r}"), F.lit(False))
+    rejected = F.coalesce(F.col("over") > F.col("most"), F.lit(False))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~rejected).alias("kept"), "stratum")
 
 
 def oracle() -> str:
     """DuckDB SQL for :func:`judge` on the tables documents and labels."""
-    tests = sum(map(len, RULES.values()))
+    levels = len(next(iter(RULES.values())))
     value = {
         "symbols": "100 * n_symbols / greatest(n_words, 1)",
         "exclaims": "100 * n_exclaims / greatest(n_words, 1)",
@@ -175,9 +189,7 @@ def oracle() -> str:
         "repeats": "100 * n_repeat_words / greatest(n_words, 1)",
         "word_length": "word_chars / greatest(n_words, 1)",
     }
-    grid = " UNION ALL ".join(f"SELECT '{r}' AS rule, unnest({cuts}) AS cut" for r, cuts in RULES.items())
-    long = " UNION ALL ".join(f"SELECT doc_id, stratum, base_failed, '{r}' AS rule, {v} AS value FROM based" for r, v in value.items())
-    p = RISK / len(RULES)
+    over = ", ".join(f"len(list_filter({cuts}, lambda c: {value[r]} > c))" for r, cuts in RULES.items())
     return rf"""
 WITH docs AS (
   SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text,
@@ -199,19 +211,18 @@ measured AS (
          coalesce(c.n_repeat_words, 0)::BIGINT AS n_repeat_words
   FROM docs d LEFT JOIN covered c ON d.doc_id = c.doc_id),
 based AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed FROM measured),
-long AS ({long}),
-held AS (SELECT * FROM long WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
-strata AS (SELECT greatest(count(DISTINCT stratum), 1) AS strata FROM held),
+judged AS (SELECT *, greatest({over}) AS over FROM based),
+held AS (SELECT * FROM judged WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+sizes AS (SELECT stratum, count(*) AS n FROM held GROUP BY stratum HAVING count(*) >= {least_holdout()}),
 counts AS (
-  SELECT stratum, h.rule, cut, count(*) AS n, count(*) FILTER (value > cut) AS k
-  FROM held h JOIN ({grid}) g ON h.rule = g.rule GROUP BY stratum, h.rule, cut),
+  SELECT s.stratum, s.n, g, count(*) FILTER (over > g) AS k
+  FROM held h JOIN sizes s ON h.stratum = s.stratum, (SELECT unnest(range(0, {levels})) AS g) GROUP BY s.stratum, s.n, g),
 tails AS (
-  SELECT *, CASE WHEN k >= n * {p} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1),
-    lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - {p})))) END AS tail
+  SELECT *, CASE WHEN k >= n * {RISK} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1),
+    lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({RISK}) + (n - i) * ln(1 - {RISK})))) END AS tail
   FROM counts),
-safe AS (SELECT stratum, rule, min(cut) AS cut FROM tails, strata WHERE tail <= {DELTA} / (strata * {tests}) GROUP BY stratum, rule),
-rejected AS (SELECT DISTINCT l.doc_id FROM long l JOIN safe s ON l.stratum = s.stratum AND l.rule = s.rule WHERE l.value > s.cut)
+safe AS (SELECT stratum, coalesce(max(g) FILTER (tail > {DELTA} / (SELECT count(*) FROM sizes)), -1) + 1 AS most FROM tails GROUP BY stratum)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM rejected) AS kept, stratum
-FROM based
+       NOT base_failed AND NOT coalesce(over > most, false) AS kept, j.stratum
+FROM judged j LEFT JOIN safe s ON j.stratum = s.stratum
 """

@@ -110,6 +110,17 @@ def test_query_equals_its_sql(spark, tables, name):
     assert shown[0] == shown[1]
 
 
+def test_cutoffs_reject_documents_of_the_table(spark):
+    """At sf0.01 English has a holdout large enough to certify cutoffs; the SQL agrees on what they reject."""
+    data = DATA.replace("0.001", "0.01")
+    con = duckdb.connect()
+    for name in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{data}/{name}.parquet')")
+    want = {(i, k) for i, k in con.execute(f"SELECT doc_id, kept FROM ({queries.ORACLES['op3_quality']})").fetchall()}
+    rows = queries.QUERIES["op3_quality"](spark, data).collect()
+    assert {(r.doc_id, r.kept) for r in rows} == want and sum(not r.kept and not r.base_failed for r in rows) > 10
+
+
 def test_every_operator_has_a_query():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 11)]
 

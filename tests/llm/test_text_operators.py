@@ -137,6 +137,40 @@ def test_quality_rejects_only_what_the_holdout_allows(documents, spark):
     assert all(got[r[0]][1] != got[r[0]][0] for r in few)  # no labels there: only the base rules reject
 
 
+def test_quality_levels_against_brute_force(documents, spark):
+    """Levels from lenient to strict while the exact tail is small enough; strata too small are not tested."""
+    rng = random.Random(8)
+    word = "lamirotensukadebo"
+    rows, marks = [], []
+    for lang, n in (("en", 700), ("de", 260), ("fr", 200), ("es", 100)):
+        for _ in range(n):
+            share = rng.choice((0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 8, 25, 60 if rng.random() < 0.3 else 0))
+            words = rng.choices(word, k=100)
+            for k in range(share):
+                words[k] += "#"
+            rows.append((len(rows), " ".join(w + str(rng.randrange(10**6)) for w in words), lang, "s"))
+            if rng.random() < 0.9:
+                marks.append((rows[-1][0], 1, 0))
+    good = {m[0] for m in marks}
+    over = {i: sum(100 * base(t)[2] / 100 > c for c in quality.RULES["symbols"]) for i, t, *_ in rows}
+    held = {g: [over[i] for i, _, lang, _ in rows if lang == g and i in good] for g in ("en", "de", "fr", "es")}
+    tested = {g for g, v in held.items() if 0.98 ** len(v) <= 0.05}
+    most = {}
+    for g in tested:
+        n = len(held[g])
+        tail = lambda k: math.fsum(math.comb(n, i) * 0.02**i * 0.98 ** (n - i) for i in range(k + 1))  # noqa: E731, B023
+        level = 12
+        while level and tail(sum(o > level - 1 for o in held[g])) <= 0.05 / len(tested):
+            level -= 1
+        most[g] = level
+    assert len(tested) >= 2 and len(set(most.values())) > 1 and min(most.values()) < 12
+    labels = spark.createDataFrame(marks, "doc_id bigint, quality int, toxic int")
+    got = {r.doc_id: r.kept for r in quality.judge(documents(rows), labels).collect()}
+    assert got == {i: not (lang in most and over[i] > most[lang]) for i, _, lang, _ in rows}
+    found = {r.stratum: r for r in quality.thresholds(quality.measure(documents(rows)), labels)[0].collect()}
+    assert {g: (r.most, r.good, r.lost) for g, r in found.items()} == {g: (most[g], len(held[g]), sum(o > most[g] for o in held[g])) for g in tested}
+
+
 def test_quality_of_odd_rows(odd, none, spark):
     labels = spark.createDataFrame([(None, 1, 0), (5, 1, None), (5, 0, 1)], "doc_id bigint, quality int, toxic int")
     rows = quality.judge(odd, labels).collect()
