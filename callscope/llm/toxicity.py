@@ -1,14 +1,15 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax.
 
-A word is the bag of its character n-grams (with word ends marked), each hashed to a
-row of an embedding table.  The rows are averaged and a linear softmax gives the
-probability that the word comes from a toxic document; table and softmax are trained
-jointly in numpy.  A misspelling that was never seen shares most n-grams, and so most
-of the average, with the words that were.
+A bag holds the character n-grams of words (with word ends marked), each hashed to a row
+of an embedding table.  The rows are averaged and a linear softmax gives the probability
+of the toxic label; table and softmax are trained jointly in numpy.  A misspelling that was
+never seen shares most n-grams, and so most of the average, with the words that were.
 
-A few words make a long document toxic, so the bags are not pooled over the document:
-its evidence is its strongest words, and a logistic map fitted on rows that the
-embeddings did not see turns them into a probability.
+Two such models are trained.  In the first a bag is a whole labelled text, so every word
+of a document counts in its average.  In the second a bag is one word, with the share of
+its documents that are toxic as its label; it tells which single words are strong.  A
+logistic map, fitted on rows that neither model saw, turns a text's average, its
+strongest words and its length into a probability.
 
 As averaging and softmax are linear in the table, scoring needs one number per n-gram:
 the table times the difference of the two softmax columns.
@@ -31,9 +32,17 @@ THRESHOLD = 0.3
 #: Labelled rows learned from at most, of each label: those with the smallest hashes of their ids.
 TRAIN_ROWS = {1: 1000, 0: 2000}
 NGRAMS = (3, 4, 5, 6)
-#: Strongest words of a text that are its evidence.
+#: Strongest words of a text that are looked at beside its average.
 TOP = 4
-BUCKETS, DIM, EPOCHS, BATCH, RATE, DECAY, FOLDS = 1 << 18, 8, 6, 8192, 0.3, 1e-4, 3
+#: N-grams without evidence that are added to a text's average: a short text says little.
+PRIOR = 1000
+#: Labelled texts that must hold an n-gram for the text model to learn it.
+LEAST_TEXTS = 5
+#: What the text model's averages are multiplied by: of thousands of n-grams few are telling.
+SCALE = 20.0
+#: Updates of a model at any size of the input, and items of each: words, and texts.
+UPDATES, WORD_BATCH, TEXT_BATCH = 120, 8192, 256
+BUCKETS, DIM, RATE, DECAY, FOLDS = 1 << 18, 8, 0.3, 1e-4, 3
 _MIX = np.uint32(0x9E3779B1)
 
 
@@ -77,14 +86,14 @@ def _per_word(length: np.ndarray) -> np.ndarray:
     return sum(np.maximum(length + 3 - n, 0) for n in NGRAMS)
 
 
-def _log_odds(table: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start of each word, and the mean of its n-grams' numbers."""
-    total = np.zeros(len(points), np.float32)
+def _sums(tables: tuple, points: np.ndarray, s: np.ndarray, e: np.ndarray) -> list[np.ndarray]:
+    """For each table, the sum of the numbers of the n-grams of each word s[k]:e[k]."""
+    total = [np.zeros(len(points), np.float32) for _ in tables]
     for bucket, good in _ngrams(points):
-        total[: len(bucket)] += table[bucket] * good
-    sums = np.concatenate([[0.0], np.cumsum(total, dtype=np.float64)])
-    s, e = _words(points)
-    return s, (sums[e - 1] - sums[s - 1]) / np.maximum(_per_word(e - s), 1)
+        for t, table in zip(total, tables, strict=True):
+            t[: len(bucket)] += table[bucket] * good
+    sums = [np.concatenate([[0.0], np.cumsum(t, dtype=np.float64)]) for t in total]
+    return [x[e - 1] - x[s - 1] for x in sums]
 
 
 def _strongest(odds: np.ndarray, first: np.ndarray, none: float) -> np.ndarray:
@@ -106,26 +115,107 @@ def _strongest(odds: np.ndarray, first: np.ndarray, none: float) -> np.ndarray:
 
 @dataclass
 class Model:
-    """table: a number for each n-gram bucket; coef: the map from strongest words and word count to log odds."""
+    """texts, words: a number for each n-gram bucket by either model; bias: of the word model; coef: the map from evidence to log odds."""
 
-    table: np.ndarray
+    texts: np.ndarray
+    words: np.ndarray
     bias: float
     coef: np.ndarray
 
     def evidence(self, texts: list[str]) -> np.ndarray:
-        """Log odds of each text's strongest words (``bias`` where it has none left), and the log of its word count plus 1."""
+        """Average of each text, log odds of its strongest words (``bias`` where it has none left), and the log of its word count plus 1."""
         points, starts = code_points(["", *(t.lower() for t in texts)])
-        s, odds = _log_odds(self.table, points)
-        first = np.searchsorted(s, starts[1:])
-        return np.column_stack([_strongest(odds, first, 0.0) + self.bias, np.log1p(np.diff(first))])
+        s, e = _words(points)
+        first, grams = np.searchsorted(s, starts[1:]), _per_word(e - s)
+        of_texts, of_words = _sums((self.texts, self.words), points, s, e)
+        n, total = (np.diff(np.concatenate([[0.0], np.cumsum(x)])[first]) for x in (grams, of_texts))
+        strong = _strongest(of_words / np.maximum(grams, 1), first, 0.0) + self.bias
+        return np.column_stack([SCALE * total / (n + PRIOR), strong, np.log1p(np.diff(first))])
 
     def scores(self, texts: list[str]) -> np.ndarray:
         z = self.evidence(texts) @ self.coef[:-1] + self.coef[-1]
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def fit_embeddings(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Model:
-    """Train table and softmax jointly on the words of labelled texts (Adagrad, fixed seed)."""
+class _Softmax:
+    """Embeddings of the buckets in use and a linear softmax over their averages, updated by Adagrad."""
+
+    def __init__(self, size: int, rng: np.random.Generator):
+        self.E, self.W, self.b = rng.normal(0, 0.1, (size, DIM)).astype(np.float32), rng.normal(0, 0.1, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
+        self.place = np.zeros(size, np.int32)
+        self.gE, self.gW, self.gb = np.full_like(self.E, 1e-4), np.full_like(self.W, 1e-4), np.full_like(self.b, 1e-4)
+
+    def update(self, bag: np.ndarray, ids: np.ndarray, share: np.ndarray, target: np.ndarray, weight: np.ndarray) -> None:
+        """One step: bag[k] holds row ids[k] with a share of share[k] of its average; target: how toxic each bag should be."""
+        self.place[ids] = 1
+        near = np.flatnonzero(self.place)
+        self.place[near] = np.arange(len(near), dtype=np.int32)
+        back = self.place[ids]
+        self.place[near] = 0
+        rows, n, w = self.E[near], len(target), self.W[:, 1] - self.W[:, 0]
+        # With two labels all that passes between bags and rows is one number each.
+        odds = np.bincount(bag, share * (rows @ w)[back], n) + self.b[1] - self.b[0]
+        d = (1 / (1 + np.exp(-np.clip(odds, -500, 500))) - target) * weight
+        g = np.bincount(back, share * d[bag], len(near)).astype(np.float32)
+        dE = np.outer(g, w) + DECAY * rows
+        dW, db = np.outer(rows.T @ g, (-1, 1)).astype(np.float32), d.sum() * np.array((-1, 1), np.float32)
+        self.gE[near] += dE * dE
+        self.E[near] = rows - RATE * dE / np.sqrt(self.gE[near])
+        self.gW += dW * dW
+        self.W -= RATE * dW / np.sqrt(self.gW)
+        self.gb += db * db
+        self.b -= RATE * db / np.sqrt(self.gb)
+
+    def table(self, used: np.ndarray) -> np.ndarray:
+        out = np.zeros(BUCKETS, np.float32)
+        out[used] = self.E @ (self.W[:, 1] - self.W[:, 0])
+        return out
+
+
+def _batches(n: int, size: int, rng: np.random.Generator):
+    """``UPDATES`` batches of about ``size`` of ``n`` items, each pass over all of them in another order."""
+    made = 0
+    while made < UPDATES and n:
+        for part in np.array_split(rng.permutation(n), -(-n // size)):
+            if made < UPDATES:
+                yield part
+            made += 1
+
+
+def _take(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Places begin[k], ..., begin[k] + n[k] - 1 of all k, one after another."""
+    return np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
+def fit_texts(texts: list[str], toxic: np.ndarray, seed: int = 7) -> np.ndarray:
+    """Train table and softmax jointly on the averages of labelled texts; the table's numbers."""
+    rng = np.random.default_rng(seed)
+    keys, counts = [], []
+    for at in range(0, len(texts), 64):
+        points, starts = code_points(["", *(t.lower() for t in texts[at : at + 64])])
+        owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts)) - 1  # -1: the line feed before the first text
+        own = [owner[np.minimum(np.flatnonzero(good) + 1, len(owner) - 1)].astype(np.int64) * BUCKETS + bucket[good] for bucket, good in _ngrams(points)]
+        key, n = np.unique(np.concatenate(own), return_counts=True)
+        keys.append(key + at * BUCKETS)
+        counts.append(n)
+    keys, counts = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (keys, counts))
+    doc, bucket = keys // BUCKETS, keys % BUCKETS
+    total = np.maximum(np.bincount(doc, counts, len(texts)), 1)
+    keep = np.bincount(bucket, minlength=BUCKETS)[bucket] >= LEAST_TEXTS
+    used, ids = np.unique(bucket[keep], return_inverse=True)
+    share = (SCALE * counts[keep] / total[doc[keep]]).astype(np.float32)
+    n = np.bincount(doc[keep], minlength=len(texts))
+    begin = np.cumsum(n) - n
+    model = _Softmax(len(used), rng)
+    both = len(toxic) / (2 * np.maximum(np.bincount(toxic, minlength=2), 1))  # both labels weigh alike
+    for some in _batches(len(texts), TEXT_BATCH, rng):
+        flat = _take(begin[some], n[some])
+        model.update(np.repeat(np.arange(len(some)), n[some]), ids[flat], share[flat], toxic[some], both[toxic[some]] / len(some))
+    return model.table(used)
+
+
+def fit_words(texts: list[str], toxic: np.ndarray, seed: int = 7) -> tuple[np.ndarray, float]:
+    """Train table and softmax jointly on the averages of the words of labelled texts; the table's numbers and the bias."""
     count: dict[str, list[int]] = {}
     for text, label in zip(texts, toxic.tolist(), strict=True):
         points, _ = code_points(["", text.lower()])
@@ -138,14 +228,12 @@ def fit_embeddings(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Model:
     # Both labels weigh alike; a word's weight grows slowly with its documents.
     docs = np.maximum(np.bincount(toxic, minlength=2), 1)
     seen = seen * (docs.sum() / (2 * docs)).astype(np.float32)
-    share = (seen + 0.5 * 0.2) / (seen.sum(axis=1, keepdims=True) + 0.2)
+    target = (seen[:, 1] + 0.5 * 0.2) / (seen.sum(axis=1) + 0.2)
     weight = np.sqrt(seen.sum(axis=1))
     points, _ = code_points(["", *words])
     s, e = _words(points)
-    owner = np.repeat(np.arange(len(s)), e - s)
-    place = np.concatenate([np.arange(a - 1, b - 1) for a, b in zip(s.tolist(), e.tolist(), strict=True)]) if len(s) else np.zeros(0, int)
     where = np.full(len(points), -1, np.int32)
-    where[place] = owner
+    where[_take(s - 1, e - s)] = np.repeat(np.arange(len(s)), e - s)
     ids, bags = [], []
     for bucket, good in _ngrams(points):
         w = where[: len(bucket)]
@@ -153,46 +241,21 @@ def fit_embeddings(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Model:
         ids.append(bucket[use].astype(np.int32))
         bags.append(w[use])
     ids, bags = np.concatenate(ids), np.concatenate(bags)
-    order = np.argsort(bags, kind="stable")
-    ids = ids[order]
-    ends = np.cumsum(np.bincount(bags, minlength=len(words)))
-    begin = np.concatenate([[0], ends[:-1]])
+    used, ids = np.unique(ids[np.argsort(bags, kind="stable")], return_inverse=True)
+    n = np.bincount(bags, minlength=len(words))
+    begin = np.cumsum(n) - n
     rng = np.random.default_rng(seed)
-    used, ids = np.unique(ids, return_inverse=True)
-    E = rng.normal(0, 0.1, (len(used), DIM)).astype(np.float32)
-    W = rng.normal(0, 0.1, (DIM, 2)).astype(np.float32)
-    b = np.zeros(2, np.float32)
-    gE, gW, gb = np.full_like(E, 1e-4), np.full_like(W, 1e-4), np.full_like(b, 1e-4)
-    for _ in range(EPOCHS if len(words) > 20_000 else 4 * EPOCHS):
-        mixed = rng.permutation(len(words))
-        for at in range(0, len(words), BATCH):
-            w = mixed[at : at + BATCH]
-            n = ends[w] - begin[w]
-            flat = np.repeat(begin[w] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            f, bag = ids[flat], np.repeat(np.arange(len(w)), n)
-            H = np.add.reduceat(E[f], np.cumsum(n) - n, axis=0) / n[:, None].astype(np.float32)
-            logits = H @ W + b
-            p = np.exp(logits - logits.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            d = (p - share[w]) * (weight[w] / weight[w].mean())[:, None] / 16
-            dH = (d @ W.T) / n[:, None]
-            near, back = np.unique(f, return_inverse=True)
-            dE = np.stack([np.bincount(back, dH[bag, k], len(near)) for k in range(DIM)], axis=1).astype(np.float32) + DECAY * E[near]
-            dW, db = H.T @ d, d.sum(axis=0)
-            gE[near] += dE * dE
-            E[near] -= RATE * dE / np.sqrt(gE[near])
-            gW += dW * dW
-            W -= RATE * dW / np.sqrt(gW)
-            gb += db * db
-            b -= RATE * db / np.sqrt(gb)
-    table = np.zeros(BUCKETS, np.float32)
-    table[used] = E @ (W[:, 1] - W[:, 0])
-    return Model(table, float(b[1] - b[0]), np.zeros(TOP + 2))
+    model = _Softmax(len(used), rng)
+    for some in _batches(len(words), WORD_BATCH, rng):
+        m = n[some]
+        model.update(np.repeat(np.arange(len(some)), m), ids[_take(begin[some], m)], np.repeat(1 / np.maximum(m, 1), m), target[some], weight[some] / weight[some].mean() / 16)
+    return model.table(used), float(model.b[1] - model.b[0])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Coefficients of a lightly regularised logistic regression, by Newton's method."""
-    x = np.column_stack([x, np.ones(len(x))])
+    """Coefficients (the constant last) of a lightly regularised logistic regression, by Newton's method on standardised columns."""
+    mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
+    x = np.column_stack([(x - mean) / spread, np.ones(len(x))])
     beta = np.zeros(x.shape[1])
     ridge = np.diag([1e-2] * (x.shape[1] - 1) + [1e-6])
     for _ in range(50):
@@ -201,26 +264,26 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
         beta += np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-6:
             break
-    return beta
+    slope = beta[:-1] / spread
+    return np.append(slope, beta[-1] - slope @ mean)
 
 
 def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray) -> Model:
     """A model from labelled texts; ``weight``: how many labelled rows each stands for."""
+    none = np.zeros(BUCKETS, np.float32)
     if len(set(toxic.tolist())) < 2:
         share = float(toxic.mean()) if len(toxic) else 0.0
-        return Model(np.zeros(BUCKETS, np.float32), 0.0, np.array([0.0] * (TOP + 1) + [np.log((share + 1e-3) / (1 - share + 1e-3))]))
-    fold = np.arange(len(texts)) % FOLDS
+        return Model(none, none, 0.0, np.array([0.0] * (TOP + 2) + [np.log((share + 1e-3) / (1 - share + 1e-3))]))
+    fold = np.zeros(len(texts), int)
     for label in (0, 1):
         fold[toxic == label] = np.arange((toxic == label).sum()) % FOLDS
-    out = np.zeros((len(texts), TOP + 1))
+    seen = np.zeros((len(texts), TOP + 2))
     for k in range(FOLDS):
-        rest = np.flatnonzero(fold != k)
-        part = fit_embeddings([texts[i] for i in rest], toxic[rest])
-        own = np.flatnonzero(fold == k)
-        out[own] = part.evidence([texts[i] for i in own])
-    model = fit_embeddings(texts, toxic)
-    model.coef = _logistic(out, toxic, weight)
-    return model
+        rest, own = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+        some = [texts[i] for i in rest]
+        part = Model(fit_texts(some, toxic[rest]), *fit_words(some, toxic[rest]), np.zeros(0))
+        seen[own] = part.evidence([texts[i] for i in own])
+    return Model(fit_texts(texts, toxic), *fit_words(texts, toxic), _logistic(seen, toxic, weight))
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: dict[int, int] | None = None) -> Model:
@@ -273,6 +336,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``, with all their columns."""
+    """The rows of ``docs`` that score below ``threshold``, with all their columns.
+
+    Null and empty texts score as a text without words and are judged like any other;
+    repeated rows stay or go together; columns besides doc_id and text are only carried.
+    """
     plain = docs.withColumn("text", F.col("text"))
     return map_arrow(plain, _run(docs.sparkSession, train(docs, labels), plain, True, threshold), docs.schema)

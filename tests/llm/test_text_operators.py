@@ -72,6 +72,44 @@ def test_toxicity_never_reads_held_out_labels(corpus, spark):
     assert a == b
 
 
+def grams(word):
+    """Buckets of a word's n-grams, one by one; its ends are marked by zero."""
+    marked = [0, *map(ord, word), 0]
+    for n in toxicity.NGRAMS:
+        for at in range(len(marked) - n + 1):
+            h = 0
+            for c in marked[at : at + n]:
+                h = (h ^ c) * 0x9E3779B1 % 2**32
+                h ^= h >> 15
+            yield (h + n - 1) * 0x9E3779B1 % 2**32 >> 14
+
+
+def test_toxicity_evidence_against_brute_force():
+    """All n-grams of all words of a text make its average; words are averaged alone."""
+    rng = np.random.default_rng(1)
+    model = toxicity.Model(*rng.normal(0, 1, (2, toxicity.BUCKETS)).astype(np.float32), 0.25, np.zeros(0))
+    texts = ["", "a", "Two words!", "émile 42 ", " ".join(f"w{i}x{i % 7}" for i in range(3000)), "x" * 2000]
+    for text, row in zip(texts, model.evidence(texts), strict=True):
+        words = "".join(c if c.isalnum() else " " for c in text.lower()).split()
+        found = [list(grams(w)) for w in words]
+        total, n = sum(float(model.texts[b]) for g in found for b in g), sum(map(len, found))
+        assert abs(row[0] - toxicity.SCALE * total / (n + toxicity.PRIOR)) < 1e-4
+        strong = sorted((sum(float(model.words[b]) for b in g) / len(g) for g in found), reverse=True)[: toxicity.TOP]
+        assert np.allclose(row[1:-1], np.array(strong + [0.0] * (toxicity.TOP - len(strong))) + 0.25, atol=1e-4)
+        assert abs(row[-1] - math.log1p(len(words))) < 1e-9
+
+
+def test_toxicity_of_many_mild_words():
+    """No single word is telling, a text full of them is: the average over all words decides."""
+    rng = random.Random(2)
+    mild, plain = [f"mi{a}{b}" for a in "abcdefgh" for b in "xyzuvw"], [f"la{a}{b}" for a in "abcdefgh" for b in "xyzuvw"]
+    make = lambda bad: " ".join(rng.choice(mild if rng.random() < (0.6 if bad else 0.4) else plain) for _ in range(300))
+    toxic = np.array([k % 3 == 0 for k in range(300)], int)
+    model = toxicity.fit([make(t) for t in toxic], toxic, np.ones(300))
+    seen = np.array([k % 2 for k in range(60)])
+    assert ((model.scores([make(t) for t in seen]) >= 0.5) == seen).mean() >= 0.95
+
+
 # Quality ------------------------------------------------------------------
 def words_of(text):
     out, word = [], ""
