@@ -1,14 +1,18 @@
-"""Byte-level BPE encoding and decoding, with tree concatenation for long unsplit text.
-
-A text without long runs is encoded in one go.  Any other is cut where a white-space
-character follows any other: no alternative of the splitting pattern crosses such a place
-or looks past it from the left, so the ids of the pieces, put together, are the ids of the
-text.  A piece with no such cut inside can be arbitrarily long.  Its pattern matches that
-exceed ``LEAF`` bytes are encoded by tree concatenation: both halves are encoded (in
-parallel), then a growing window around the join is encoded anew until its first and
-its last token equal those of the two sides.  A sequence of tokens is the encoding of
-its bytes exactly if each neighbouring pair is, so agreement on one token on either
-side makes the whole exact.
+"""Byte-level BPE encoding and decoding by tree concatenation.
+
+A text of more than ``LEAF`` characters is halved, wherever the middle lies, until its parts
+are short enough; all parts are encoded (in parallel) and joined pairwise, level by level.
+At a join a window of text around it is encoded anew.  It begins and ends where a
+white-space character follows any other: no alternative of the splitting pattern crosses
+such a place or looks past it from the left, so tokens of either side end there, too.
+The window grows until its first and its last token equal those of the two sides, and
+replaces theirs.
+
+Where a run without such a place is longer than ``LEAF`` bytes, no window of text is small.
+Such a text is cut at those places, and its pattern matches that exceed ``LEAF`` bytes are
+encoded by a tree over their bytes.  Windows are made of tokens there: a sequence of tokens
+is the encoding of its bytes exactly if each neighbouring pair is, so agreement on one token
+on either side makes the whole exact.
 """
 
 from __future__ import annotations
@@ -27,14 +31,15 @@ from pyspark.sql import functions as F
 
 from callscope.llm.common import map_arrow, slices
 
-#: Longest pattern match, in bytes, that is encoded in one go.
+#: Longest text, in characters, and longest pattern match, in bytes, that is encoded in one go.
 LEAF = 4096
-#: Tokens on each side of a join in the first window.
-WINDOW = 8
+#: Tokens on each side of a join of bytes in the first window, and characters at a join of texts.
+WINDOW, SPAN = 8, 32
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: The characters that the pattern's white space stands for (fixed values: Unicode's White_Space).
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PIECE = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
+_PLACE = re.compile(f"[^{_WHITE}](?=[{_WHITE}])")
 
 
 def default_tokenizer() -> str:
@@ -69,7 +74,12 @@ class ByteBpe:
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.added = {k: np.array([v], "<u4").tobytes() for k, v in added.items()}
         self.size = self.bpe.n_vocab
-        self.leaf, self.pool = leaf, None
+        self.leaf, self.pool = leaf, ThreadPoolExecutor(2)
+        self.widths = np.zeros(max(self.bytes_of, default=0) + 1, np.int64)
+        for k, v in self.bytes_of.items():
+            self.widths[k] = len(v)
+        #: Joins of texts and of bytes that this coder has made.
+        self.joins = {"text": 0, "bytes": 0}
 
     def _leaves(self, data: bytes) -> list[bytes]:
         n = 1
@@ -78,6 +88,7 @@ class ByteBpe:
         return [data[len(data) * i // n : len(data) * (i + 1) // n] for i in range(n)]
 
     def _join(self, a: list[int], b: list[int]) -> list[int]:
+        self.joins["bytes"] += 1
         piece, of = self.bpe._encode_single_piece, self.bytes_of
         k = WINDOW
         while True:
@@ -92,7 +103,6 @@ class ByteBpe:
         leaves = self._leaves(data)
         if len(leaves) == 1:
             return self.bpe._encode_single_piece(data)
-        self.pool = self.pool or ThreadPoolExecutor(2)
         parts = list(self.pool.map(self.bpe._encode_single_piece, leaves))
         while len(parts) > 1:
             pairs = [(parts[i], parts[i + 1]) for i in range(0, len(parts), 2)]
@@ -115,12 +125,50 @@ class ByteBpe:
                 return True
         return False
 
+    def _kept(self, ids: np.ndarray, size: int, last: bool) -> int | None:
+        """Tokens at the end (``last``) or the start of ``ids`` that make up ``size`` bytes; None if a token crosses that place."""
+        few = min(size, len(ids))
+        widths = np.cumsum(self.widths[ids[len(ids) - few :][::-1] if last else ids[:few]])
+        k = int(np.searchsorted(widths, size))
+        return k + 1 if k < few and widths[k] == size else 0 if not size else None
+
+    def _join_texts(self, text: str, start: int, at: int, end: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ids of text[start:end] from those of its parts before and after ``at``."""
+        self.joins["text"] += 1
+        k = SPAN
+        while True:
+            places = [m.end() for m in _PLACE.finditer(text, max(start, at - 2 * k), max(start, at - k) + 1)]
+            p = start if at - k <= start else places[-1] if places else None
+            found = _PLACE.search(text, at + k, min(end, at + 2 * k)) if at + k < end else None
+            q = end if at + k >= end else found.end() if found else None
+            if p is not None and q is not None:
+                mid = np.array(self.bpe.encode_ordinary(text[p:q]), "<u4")
+                left, right = self._kept(a, len(text[p:at].encode()), True), self._kept(b, len(text[at:q].encode()), False)
+                if left is not None and right is not None and (p == start or mid[0] == a[len(a) - left]) and (q == end or mid[-1] == b[right - 1]):
+                    return np.concatenate([a[: len(a) - left], mid, b[right:]])
+            k *= 2
+
+    def tree_text(self, text: str) -> np.ndarray:
+        """Ids of a text without long runs, by halves."""
+        n = 1
+        while len(text) / n > self.leaf:
+            n *= 2
+        edges = [len(text) * i // n for i in range(n + 1)]
+        leaves = [text[x:y] for x, y in zip(edges, edges[1:], strict=False)]
+        parts = [np.array(x, "<u4") for x in self.pool.map(self.bpe.encode_ordinary, leaves)]
+        while len(parts) > 1:
+            parts = [self._join_texts(text, edges[i], edges[i + 1], edges[i + 2], parts[i], parts[i + 1]) for i in range(0, len(parts), 2)]
+            edges = edges[::2]
+        return parts[0]
+
     def _plain(self, text: str) -> bytes:
-        if self._long_runs(text):
+        if len(text) <= self.leaf:
+            ids = self.bpe.encode_ordinary(text)
+        elif self._long_runs(text):
             ids = list(chain.from_iterable(map(self._long, _PIECE.findall(text))))
         else:
-            ids = self.bpe.encode_ordinary(text)
-        return np.array(ids, "<u4").tobytes()
+            ids = self.tree_text(text)
+        return np.asarray(ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
@@ -141,9 +189,10 @@ def tokenizer(path: str, leaf: int = LEAF) -> ByteBpe:
 
 
 def encode_ids(rows: DataFrame, path: str | None = None) -> DataFrame:
-    """``rows`` with ids (binary, little-endian unsigned 32-bit) in place of their column text; a null text has none."""
+    """``rows`` with ids (binary, little-endian unsigned 32-bit) in place of their columns text and, if there is one, ids; a null text has none."""
     path = path or default_tokenizer()
-    rest = [c for c in rows.columns if c != "text"]
+    rest = [c for c in rows.columns if c not in ("text", "ids")]
+    rows = rows.select(*(f"`{c}`" for c in rest), "text")
 
     def run(batches):
         bpe = tokenizer(path)
@@ -157,9 +206,10 @@ def encode_ids(rows: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def decode_ids(rows: DataFrame, path: str | None = None) -> DataFrame:
-    """``rows`` with text in place of their column ids (binary)."""
+    """``rows`` with text in place of their columns ids (binary) and, if there is one, text; null ids have a null text."""
     path = path or default_tokenizer()
-    rest = [c for c in rows.columns if c != "ids"]
+    rest = [c for c in rows.columns if c not in ("text", "ids")]
+    rows = rows.select(*(f"`{c}`" for c in rest), "ids")
 
     def run(batches):
         bpe = tokenizer(path)

@@ -285,6 +285,26 @@ def test_bpe_equals_the_library(library, text, piece, times):
             assert coder.decode(got) == library.decode(np.frombuffer(got, "<u4").tolist(), skip_special_tokens=False)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.text(st.sampled_from("abcXYZ 019'.!é漢🙂Ⅷ\x85\xa0"), max_size=20), st.sampled_from([" ", "\n", "  ", "\t ", " \n\n", "'s ", "\u3000"])), min_size=60, max_size=120))
+def test_bpe_joins_halves_of_texts(library, parts):
+    text = "".join(a + b for a, b in parts)
+    coder = bpe.ByteBpe(bpe.default_tokenizer(), 256)
+    assert coder.encode(text) == ids_of(library, text)
+    if len(text) > 256 and not coder._long_runs(text):
+        assert coder.joins["text"] >= len(text) // 512
+
+
+def test_bpe_tree_carries_documents_of_the_table(library):
+    """At the production leaf, whole documents are encoded by halves and joins."""
+    import pyarrow.parquet as pq
+
+    coder = bpe.ByteBpe(bpe.default_tokenizer())
+    texts = [t or "" for t in pq.read_table(f"{DATA}/documents.parquet", columns=["text"]).column("text").to_pylist()]
+    assert [coder.encode(t) for t in texts] == [ids_of(library, t) for t in texts]
+    assert coder.joins["text"] > 100 and sum(len(t) > bpe.LEAF for t in texts) > 50
+
+
 @pytest.mark.parametrize("text", ["ab" * 30_000, " " * 30_000, "\n" * 9000 + "x", "漢" * 9000, "a" * 5000 + " b" + "!" * 9000, "7" * 20_000])
 def test_bpe_of_long_unsplit_text(library, text):
     assert bpe.tokenizer(bpe.default_tokenizer()).encode(text) == ids_of(library, text)
@@ -296,6 +316,12 @@ def test_bpe_round_trip(odd, none, library):
     digest = lambda b: hashlib.sha256(b).hexdigest()
     want = sorted((i or 0, len(ids_of(library, t)) // 4, digest(ids_of(library, t)), digest(t.encode())) for i, t in texts)
     assert sorted((r.doc_id or 0, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in rows) == want
+    clash = odd.withColumn("ids", F.lit("x")).withColumn("n_tokens", F.lit(7))
+    coded = bpe.encode_ids(clash)
+    assert coded.columns == [c for c in odd.columns if c != "text"] + ["n_tokens", "ids"] and {r.n_tokens for r in coded.collect()} == {7}
+    assert sorted((r.doc_id or 0, bytes(r.ids)) for r in coded.collect()) == sorted((i or 0, ids_of(library, t)) for i, t in texts)
+    again = bpe.decode_ids(coded.withColumn("text", F.lit("old")))
+    assert sorted((r.doc_id or 0, r.text) for r in again.collect()) == sorted((i or 0, t) for i, t in texts)
     back = bpe.decode_ids(bpe.encode_ids(odd))
     assert sorted((r.doc_id or 0, r.text) for r in back.collect()) == sorted((i or 0, t) for i, t in texts)
     assert bpe.round_trip(none).count() == 0
