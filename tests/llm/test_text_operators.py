@@ -237,23 +237,65 @@ def test_language_of_odd_rows(odd, none):
     assert langid.drop_unknown(odd).columns == odd.columns
 
 
+def parsed(reference, text):
+    """Phrases of the whole text, greedily, each looked for in the reference."""
+    count, at = 0, 0
+    while at < len(text):
+        n = 0
+        while at + n < len(text) and text[at : at + n + 1] in reference:
+            n += 1
+        at += max(n, 1)
+        count += 1
+    return count
+
+
+def shown(text):
+    return "".join(chr(c) for c in langid._letter_points([text])[0])
+
+
 def test_automaton_parses_into_longest_phrases():
-    """Against search in the reference text, block ends included."""
+    """Against search in the reference text; letters that it lacks are phrases by themselves."""
     rng = random.Random(2)
-    reference = "".join(rng.choices("abc ", k=300)).strip()
-    model = langid.build({"x": [reference]})
-    squeezed = "".join(chr(c) for c in langid._letter_points([reference])[0])
-    for _ in range(30):
-        text = "".join(rng.choices("abcz", k=rng.randint(1, 80)))
-        shown = "".join(chr(c) for c in langid._letter_points([text])[0])
-        count, at = 0, 0
-        while at < len(shown):
-            n = 0
-            while at + n < len(shown) and shown[at : at + n + 1] in squeezed:
-                n += 1
-            at += max(n, 1)
-            count += 1
-        assert model.phrases([text])[0][0, 0] == count
+    references = {"x": "".join(rng.choices("abc ", k=300)).strip(), "y": "".join(rng.choices("bcde ", k=200)).strip()}
+    model = langid.build({k: [v] for k, v in references.items()})
+    texts = ["".join(rng.choices("abcez ", k=rng.randint(1, 80))) for _ in range(30)]
+    want = [[parsed(shown(references[g]), shown(t)) for g in "xy"] for t in texts]
+    assert model.phrases(texts)[0].tolist() == want
+
+
+@pytest.mark.parametrize("block", [1, 3, 7, 64])
+def test_phrases_run_across_blocks(monkeypatch, block):
+    """Whatever the blocks, the count is that of the uncut text; runs of one letter never meet again, so each block is parsed in turn."""
+    monkeypatch.setattr(langid, "BLOCK", block)
+    rng = random.Random(block)
+    references = {"x": "".join(rng.choices("ab ", k=400)) + "a" * 10, "y": "ab" * 40, "z": "q"}
+    model = langid.build({k: [v] for k, v in references.items()})
+    texts = ["".join(rng.choices("ab ", weights=(5, 3, 1), k=rng.randint(0, 300))) for _ in range(20)] + ["a" * 200, "ab" * 150, "", "q" * 65, "b" + "a" * 127]
+    want = [[parsed(shown(references[g]), shown(t)) if t else 0 for g in "xyz"] for t in texts]
+    assert model.phrases(texts)[0].tolist() == want
+
+
+def test_large_scripts_are_told_apart():
+    """Thousands of letters, each with transitions of its own."""
+    rng = random.Random(3)
+    han, kana = [chr(0x4E00 + i) for i in range(3000)], [chr(0x4E00 + i) for i in range(1500, 4500)]
+    grams = {k: ["".join(rng.choices(v, k=4)) for _ in range(400)] for k, v in (("h", han), ("k", kana))}
+    make = lambda k: "".join(rng.choice(grams[k]) for _ in range(60))
+    references = {k: [make(k) for _ in range(20)] for k in grams} | {"en": ["plain words of another script"]}
+    model = langid.build(references)
+    assert len(model.letters) > 1500
+    texts = [make(k) for k in "hk" * 20]
+    assert model.predict(texts)[0].tolist() == list("hk" * 20)
+    whole = {k: shown("\n".join(v)) for k, v in references.items()}
+    assert model.phrases(texts[:4])[0].tolist() == [[parsed(whole[g], shown(t)) for g in ("en", "h", "k")] for t in texts[:4]]
+
+
+def test_references_come_from_whole_texts(documents):
+    """Excerpts lie anywhere in a text; no row is left out because it is long."""
+    rows = [(i, "a" * 2000 + f"b{'c' * 5000}" + "d" * 3000, "xx", "s") for i in range(200)]
+    model = langid.train(documents(rows).withColumn("text", F.concat("text", F.col("doc_id").cast("string"))))
+    assert model.langs == ["xx"] and {chr(c) for c in model.letters} >= {"a", "c", "d"}
+    assert 40 * langid.REFERENCE_CHARS < 2 ** model.cost[0] <= langid.REFERENCE_ROWS * (langid.REFERENCE_CHARS + 1) + 1
 
 
 # BPE ----------------------------------------------------------------------
