@@ -2,8 +2,16 @@
 
 Every record is a gzip member of its own.  The reader cuts files into byte ranges.  A
 task looks for the gzip magic from its range's start on, takes a place for a member only
-if it decodes to a WARC header, and owns the records that start inside its range; the
-last of these it reads to its end, wherever that lies.
+if it decodes to a WARC header and another member or the file's end follows, and owns the
+records that start inside its range; the last of these it reads to its end, wherever that
+lies.
+
+A payload may itself hold whole gzipped records, so a range may begin with what only looks
+like one.  Therefore each range first tells where its first record begins and where the
+next after its last does: members follow each other without a gap, so the ranges of a file
+must agree from its start on, and one that does not is walked again from where its
+predecessor ends.  A member that is expected and broken is an error, as are bytes
+between members, a file that ends early and another number of records than was written.
 """
 
 from __future__ import annotations
@@ -15,6 +23,7 @@ import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from callscope.llm import files
@@ -62,7 +71,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, fi
 
 
 def write_warc(pages: DataFrame, folder: str | None = None, min_bytes: int = MIN_BYTES, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """Write a record per row of ``pages`` (page_id, url, html); returns the manifest (file, size).
+    """Write a record per row of ``pages`` (page_id integer, url, html); returns the manifest (file, size, records).
 
     Of the rows with equal payloads (null html: empty) of at least ``min_bytes`` those with
     the smallest page_id are responses (several only if rows repeat), the others revisits
@@ -75,7 +84,7 @@ def write_warc(pages: DataFrame, folder: str | None = None, min_bytes: int = MIN
     full = rows.join(first, "digest", "left").select("page_id", "url", "payload", "digest", F.col("first.page_id").alias("first"), F.col("first.url").alias("first_url"))
 
     def run(batches):
-        out, done = files.Rolling(folder, ".warc.gz", file_bytes), []
+        out, done, n = files.Rolling(folder, ".warc.gz", file_bytes), [], 0
         for batch in batches:
             for part in slices(batch, "payload"):
                 for r in part.to_pylist():
@@ -84,24 +93,28 @@ def write_warc(pages: DataFrame, folder: str | None = None, min_bytes: int = MIN
                     again = r["first"] is not None and r["page_id"] != r["first"] and len(r["payload"]) >= min_bytes
                     digest = base64.b32encode(bytes.fromhex(r["digest"])).decode()
                     out.write(record(r["page_id"], r["url"], r["payload"], digest, r["first"], r["first_url"], again))
+                    n += 1
                     if out.full:
-                        done.append(out.close())
+                        done.append((*out.close(), n))
+                        n = 0
         if out.open:
-            done.append(out.close())
+            done.append((*out.close(), n))
         if done:
-            yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done]), pa.array([d[1] for d in done], pa.int64())], ["file", "size"])
+            name, size, count = (list(x) for x in zip(*done, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(size, pa.int64()), pa.array(count, pa.int64())], ["file", "size", "records"])
 
-    return settle(map_arrow(full, run, "file string, size long"))
+    return settle(map_arrow(full, run, "file string, size long, records long"))
 
 
 class _Window:
-    """Bytes of a file from a moving place on, read in chunks."""
+    """Bytes of a file from a moving place on up to ``size``, read in chunks."""
 
-    def __init__(self, file, at: int):
-        self.file, self.at, self.data, self.size = file, at, bytearray(), file.size()
+    def __init__(self, file, at: int, size: int):
+        self.file, self.at, self.data, self.size = file, at, bytearray(), min(size, file.size())
 
     def more(self) -> bool:
-        got = self.file.read_at(CHUNK, self.at + len(self.data)) if self.at + len(self.data) < self.size else b""
+        place = self.at + len(self.data)
+        got = self.file.read_at(min(CHUNK, self.size - place), place) if place < self.size else b""
         self.data += got
         return bool(got)
 
@@ -110,51 +123,139 @@ class _Window:
         self.at += n
 
 
-def _member(window: _Window) -> tuple[bytes, int] | None:
-    """Content and length of the gzip member at the window's start, None if it isn't one that begins with a WARC header."""
-    unpress, out, used, checked = zlib.decompressobj(31), [], 0, False
-    size = 0
+def _member(window: _Window) -> tuple[bytes | None, int, str]:
+    """Content and length of the gzip member at the window's start; no content, and why, if it isn't a whole one that begins with a WARC header."""
+    unpress, out, used, size, checked = zlib.decompressobj(31), [], 0, 0, False
     while not unpress.eof:
         if used == len(window.data) and not window.more():
-            return None
+            return None, used, "it ends early"
         piece = bytes(window.data[used : used + CHUNK])
         try:
             out.append(unpress.decompress(piece))
-        except zlib.error:
-            return None
+        except zlib.error as e:
+            return None, used, str(e)
         used += len(piece) - len(unpress.unused_data)
         size += len(out[-1])
         if not checked and size >= 7:
-            start = b"".join(out)
-            if not start.startswith(b"WARC/1."):
-                return None
+            if not b"".join(out).startswith(b"WARC/1."):
+                return None, used, "it is no WARC record"
             checked = True
     data = b"".join(out)
-    return (data, used) if checked and b"\r\n\r\n" in data else None
+    return (data, used, "") if checked and b"\r\n\r\n" in data else (None, used, "it is no WARC record")
+
+
+def _follows(window: _Window, used: int) -> bool:
+    """Whether another member, or nothing, comes after ``used`` bytes of the window."""
+    while len(window.data) < used + len(MAGIC) and window.more():
+        pass
+    rest = bytes(window.data[used : used + len(MAGIC)])
+    return not rest or rest == MAGIC
+
+
+def find(file, start: int, end: int, size: int) -> int | None:
+    """The first place from ``start`` to ``end`` of a file of ``size`` bytes that looks like a member; None if there is none."""
+    window = _Window(file, start, size)
+    while window.at < end:
+        k = window.data.find(MAGIC)
+        if k < 0:
+            keep = min(len(window.data), len(MAGIC) - 1)  # the magic may straddle two chunks
+            window.skip(len(window.data) - keep)
+            if not window.more():
+                return None
+            continue
+        window.skip(k)
+        if window.at >= end:
+            return None
+        # The window keeps what it reads, so a candidate that fails costs no second read.
+        content, used, _ = _member(window)
+        if content is not None and _follows(window, used):
+            return window.at
+        window.skip(1)
+    return None
+
+
+def walk(file, at: int, end: int, size: int):
+    """(place, content, place after it) of the members that follow each other from ``at`` on and start before ``end``; anything else there is an error."""
+    window = _Window(file, at, size)
+    if window.size < size:
+        raise ValueError(f"the file ends early: {window.size} of {size} bytes")
+    while window.at < end:
+        content, used, why = _member(window)
+        if content is None:
+            raise ValueError(f"broken record at byte {window.at}: {why}")
+        place = window.at
+        window.skip(used)
+        yield place, content, window.at
 
 
 def members(uri: str, start: int, end: int):
-    """(place, content) of the records that start in bytes ``start`` to ``end`` of a file."""
+    """(place, content) of the records that start in bytes ``start`` to ``end`` of a file, by that range alone."""
     store, path = files.locate(uri)
     with store.open_input_file(path) as file:
-        window = _Window(file, start)
-        while window.at < end:
-            k = window.data.find(MAGIC)
-            if k < 0:
-                keep = min(len(window.data), len(MAGIC) - 1)  # the magic may straddle two chunks
-                window.skip(len(window.data) - keep)
-                if not window.more():
-                    return
-                continue
-            window.skip(k)
-            if window.at >= end:
-                return
-            found = _member(window)
-            if found is None:
-                window.skip(1)
-            else:
-                yield window.at, found[0]
-                window.skip(found[1])
+        first = find(file, start, end, file.size()) if start else 0
+        if first is not None:
+            yield from (x[:2] for x in walk(file, first, end, file.size()))
+
+
+_RANGE = "file string, size long, start long, end long, first long, next long, records long, error string"
+
+
+def _ranges(rows: DataFrame) -> DataFrame:
+    """Each of rows (file, size, start, end, first) with its first record (looked for where null), the place after its last, their number, and what is wrong."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for s in batch.to_pylist():
+                first, after, n, error = s["first"], None, 0, None
+                store, path = files.locate(s["file"])
+                with store.open_input_file(path) as file:
+                    try:
+                        first = first if first is not None else 0 if s["start"] == 0 else find(file, s["start"], s["end"], s["size"])
+                        if first is not None:
+                            for *_, after in walk(file, first, s["end"], s["size"]):
+                                n += 1
+                    except ValueError as e:
+                        error, after = f"{s['file']}: {e}", None
+                out.append(s | {"first": first, "next": after, "records": n, "error": error})
+            names = [x.split()[0] for x in _RANGE.split(", ")]
+            kinds = [pa.string(), *[pa.int64()] * 6, pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], k) for c, k in zip(names, kinds, strict=True)], names)
+
+    return rows.select("file", "size", "start", "end", "first").repartition(max(1, rows.count())).mapInArrow(run, _RANGE)
+
+
+def ranges(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """(file, size, start, end, first, next, records) of the byte ranges of files (file, size, and perhaps records) in which records start."""
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split_bytes).cast("long")))
+    rows = manifest.where(F.col("size") > 0).select("file", "size", starts.alias("start"))
+    rows = settle(rows.withColumns({"end": F.least(F.col("size"), F.col("start") + split_bytes), "first": F.lit(None).cast("long")}))
+    known = settle(_ranges(rows))
+    before = W.partitionBy("file").orderBy("start").rowsBetween(W.unboundedPreceding, -1)
+    upto = W.partitionBy("file").orderBy("start").rowsBetween(W.unboundedPreceding, 0)
+    while True:
+        # Where a range must begin: its predecessors' end; beyond its own end, it holds no start of a record.
+        due = F.coalesce(F.last("next", True).over(before), F.lit(0))
+        seen = known.withColumn("due", due).withColumn("good", F.when(F.col("due") >= F.col("end"), F.col("first").isNull()).otherwise((F.col("first") == F.col("due")) & F.col("error").isNull()))
+        seen = seen.withColumn("bad", F.sum((~F.coalesce("good", F.lit(False))).cast("int")).over(upto))
+        seen = settle(seen)
+        wrong = seen.where((F.col("bad") == 1) & ~F.coalesce("good", F.lit(False)))  # in each file the first: all before it are right
+        if wrong.isEmpty():
+            break
+        failed = wrong.where(F.col("error").isNotNull() & (F.col("first") == F.col("due"))).select("error").first()
+        if failed:
+            raise ValueError(failed["error"])
+        none = [F.lit(None).cast(k).alias(c) for c, k in (("first", "long"), ("next", "long"))]
+        past = wrong.where(F.col("due") >= F.col("end")).select("file", "size", "start", "end", *none, F.lit(0).cast("long").alias("records"), F.lit(None).cast("string").alias("error"))
+        again = _ranges(settle(wrong.where(F.col("due") < F.col("end")).select("file", "size", "start", "end", F.col("due").alias("first"))))
+        rest = known.join(wrong.select("file", "start"), ["file", "start"], "left_anti")
+        known = settle(rest.unionByName(past).unionByName(again))
+    if "records" in manifest.columns:
+        found = known.groupBy("file").agg(F.sum("records").alias("found"))
+        other = manifest.join(found, "file", "left").where(F.col("records") != F.coalesce("found", F.lit(0))).first()
+        if other:
+            raise ValueError(f"{other['file']} has {other['found'] or 0} records, {other['records']} were written")
+    return known.where(F.col("first").isNotNull()).drop("error")
 
 
 def parse(content: bytes) -> dict:
@@ -168,14 +269,21 @@ def parse(content: bytes) -> dict:
 def read_warc(manifest: DataFrame, split_bytes: int = SPLIT_BYTES, with_payload: bool = True) -> DataFrame:
     """page_id, url, record_type, payload_bytes, payload_digest, refers_to of each record in the files, and its payload (null in revisits) if wanted.
 
-    A response whose payload does not have the digest that its header gives is an error.
+    A response whose payload does not have the digest that its header gives is an error,
+    as is a broken or missing record.  Page ids are integers.
     """
 
+    def contents(s: dict):
+        store, path = files.locate(s["file"])
+        with store.open_input_file(path) as file:
+            for _, content, _ in walk(file, s["first"], s["end"], s["size"]):
+                yield content
+
     def run(batches):
         for batch in batches:
             for s in batch.to_pylist():
                 rows, size = [], 0
-                for _, content in members(s["file"], s["start"], s["end"]):
+                for content in contents(s):
                     got = parse(content)
                     h, kind = got["headers"], got["headers"]["warc-type"]
                     head, _, payload = got["block"].partition(b"\r\n\r\n")
@@ -201,9 +309,7 @@ def read_warc(manifest: DataFrame, split_bytes: int = SPLIT_BYTES, with_payload:
     def batch_of(rows):
         return pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k, _ in zip(zip(*rows, strict=True), kinds, names, strict=False)], names)
 
-    starts = F.explode(F.sequence(F.lit(0), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(split_bytes).cast("long")))
-    splits = settle(manifest.where(F.col("size") > 0).select("file", "size", starts.alias("start")))
-    splits = splits.select("file", "start", F.least(F.col("size"), F.col("start") + split_bytes).alias("end"))
+    splits = settle(ranges(manifest, split_bytes))
     schema = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long" + ", payload binary" * with_payload
     return splits.repartition(max(1, splits.count())).mapInArrow(run, schema)
 

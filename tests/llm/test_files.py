@@ -82,18 +82,65 @@ def test_warc_members_are_plain_gzip(spark, tmp_path):
     assert data.startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and data.endswith("<p>é</p>\r\n\r\n".encode())
 
 
+def stored(payload):
+    """A record whose member keeps its bytes as they are, so whatever the payload holds shows in the file."""
+    block = zlib.compressobj(0, zlib.DEFLATED, 31)
+    http = b"HTTP/1.1 200 OK\r\n\r\n" + payload
+    digest = base64.b32encode(hashlib.sha1(payload).digest())
+    head = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <x>\r\nWARC-Payload-Digest: sha1:%s\r\nX-Page-ID: %d\r\nContent-Length: %d\r\n\r\n" % (digest, len(payload), len(http))
+    return block.compress(head + http + b"\r\n\r\n") + block.flush()
+
+
+def read_file(spark, path, split, records=None):
+    rows = [(str(path), path.stat().st_size, records)]
+    manifest = spark.createDataFrame(rows, "file string, size bigint, records bigint")
+    return sorted(bytes(r.payload) for r in warc.read_warc(manifest if records is not None else manifest.drop("records"), split).collect())
+
+
 def test_magic_inside_a_payload_is_no_record(tmp_path):
-    inner = gzip.compress(b"WARC/0.0 no header")
-    noise = b"".join(bytes([0x1F, 0x8B, 8, k]) for k in range(200)) + inner
-    block = zlib.compressobj(0, zlib.DEFLATED, 31)  # stored: the magic shows in the file
-    head = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: %d\r\n\r\n" % len(noise)
-    one = block.compress(head + noise + b"\r\n\r\n") + block.flush()
+    noise = b"".join(bytes([0x1F, 0x8B, 8, k]) for k in range(200)) + gzip.compress(b"WARC/0.0 no header")
+    one = stored(noise)
     path = tmp_path / "x.warc.gz"
-    path.write_bytes(one + one + b"garbage" + one)
-    whole = [at for at, _ in warc.members(str(path), 0, 1 << 30)]
-    assert whole == [0, len(one), 2 * len(one) + 7]
-    parts = [at for k in range(0, path.stat().st_size, 97) for at, _ in warc.members(str(path), k, k + 97)]
-    assert parts == whole
+    path.write_bytes(one * 3)
+    whole = [at for at, _ in warc.members(str(path), 0, len(one) * 3)]
+    assert whole == [0, len(one), 2 * len(one)]
+    store, place = files.locate(str(path))
+    with store.open_input_file(place) as file:
+        parts = [warc.find(file, k, k + 97, 3 * len(one)) for k in range(1, 3 * len(one), 97)]
+    assert [p for p in parts if p is not None] == whole[1:]
+
+
+def test_records_inside_a_payload_are_no_records(spark, tmp_path):
+    """An archive in a stored block: ranges that begin inside it are set right, whatever their size."""
+    inner = b"".join(warc.record(k, "u", bytes([65 + k]) * 50, "X") for k in range(4))
+    payloads = [b"a" * 10, inner, b"", inner + b"tail", b"z" * 500]
+    path = tmp_path / "y.warc.gz"
+    path.write_bytes(b"".join(map(stored, payloads)))
+    for split in (64, 300, 501, 1000, 1 << 20):
+        assert read_file(spark, path, split, len(payloads)) == sorted(payloads)
+
+
+def test_broken_archives_are_errors(spark, tmp_path):
+    good = b"".join(warc.record(k, f"http://a/{k}", b"<p>%d</p>" % k * 40, base64.b32encode(hashlib.sha1(b"<p>%d</p>" % k * 40).digest()).decode()) for k in range(6))
+    path = tmp_path / "z.warc.gz"
+    path.write_bytes(good)
+    assert len(read_file(spark, path, 200, 6)) == 6
+    edges = [at for at, _ in warc.members(str(path), 0, len(good))]
+    broken = {
+        "flipped in a body": good[: edges[2] + 60] + bytes([good[edges[2] + 60] ^ 0xFF]) + good[edges[2] + 61 :],
+        "flipped in a magic": good[: edges[3]] + b"\0" + good[edges[3] + 1 :],
+        "truncated": good[:-9],
+        "bytes between": good[: edges[1]] + b"garbage" + good[edges[1] :],
+    }
+    for data in broken.values():
+        path.write_bytes(data)
+        for split in (200, 1 << 20):
+            with pytest.raises(Exception, match="broken record|ends early"):
+                read_file(spark, path, split)
+    path.write_bytes(good[: edges[5]])  # whole records, but one too few
+    for split in (200, 1 << 20):
+        with pytest.raises(Exception, match="5 records, 6 were written"):
+            read_file(spark, path, split, 6)
 
 
 def test_warc_of_odd_rows(spark):
