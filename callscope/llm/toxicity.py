@@ -190,27 +190,26 @@ def _take(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
 def fit_texts(texts: list[str], toxic: np.ndarray, seed: int = 7) -> np.ndarray:
     """Train table and softmax jointly on the averages of labelled texts; the table's numbers."""
     rng = np.random.default_rng(seed)
-    keys, counts = [], []
-    for at in range(0, len(texts), 64):
-        points, starts = code_points(["", *(t.lower() for t in texts[at : at + 64])])
+    bags: list[tuple[np.ndarray, np.ndarray]] = []  # of each text: its buckets, and their shares
+    seen = np.zeros(BUCKETS, np.int64)
+    for at in range(0, len(texts), 16):  # few at once, and narrow numbers: this runs on the driver
+        points, starts = code_points(["", *(t.lower() for t in texts[at : at + 16])])
         owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts)) - 1  # -1: the line feed before the first text
-        own = [owner[np.minimum(np.flatnonzero(good) + 1, len(owner) - 1)].astype(np.int64) * BUCKETS + bucket[good] for bucket, good in _ngrams(points)]
+        own = [owner[np.minimum(np.flatnonzero(good) + 1, len(owner) - 1)] * BUCKETS + bucket[good] for bucket, good in _ngrams(points)]
         key, n = np.unique(np.concatenate(own), return_counts=True)
-        keys.append(key + at * BUCKETS)
-        counts.append(n)
-    keys, counts = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (keys, counts))
-    doc, bucket = keys // BUCKETS, keys % BUCKETS
-    total = np.maximum(np.bincount(doc, counts, len(texts)), 1)
-    keep = np.bincount(bucket, minlength=BUCKETS)[bucket] >= LEAST_TEXTS
-    used, ids = np.unique(bucket[keep], return_inverse=True)
-    share = (SCALE * counts[keep] / total[doc[keep]]).astype(np.float32)
-    n = np.bincount(doc[keep], minlength=len(texts))
-    begin = np.cumsum(n) - n
+        edges, bucket = np.searchsorted(key, np.arange(len(starts) - 1) * BUCKETS), (key % BUCKETS).astype(np.int32)
+        seen += np.bincount(bucket, minlength=BUCKETS)
+        bags += [(bucket[i:j].copy(), (SCALE * n[i:j] / max(n[i:j].sum(), 1)).astype(np.float32)) for i, j in zip(edges, edges[1:], strict=False)]
+    used = np.flatnonzero(seen >= LEAST_TEXTS)
+    place = np.full(BUCKETS, -1, np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    for k, (bucket, share) in enumerate(bags):
+        bags[k] = place[bucket[keep := place[bucket] >= 0]], share[keep]
     model = _Softmax(len(used), rng)
     both = len(toxic) / (2 * np.maximum(np.bincount(toxic, minlength=2), 1))  # both labels weigh alike
     for some in _batches(len(texts), TEXT_BATCH, rng):
-        flat = _take(begin[some], n[some])
-        model.update(np.repeat(np.arange(len(some)), n[some]), ids[flat], share[flat], toxic[some], both[toxic[some]] / len(some))
+        ids, share = (np.concatenate(x) for x in zip(*(bags[k] for k in some), strict=True))
+        model.update(np.repeat(np.arange(len(some)), [len(bags[k][0]) for k in some]), ids, share, toxic[some], both[toxic[some]] / len(some))
     return model.table(used)
 
 
@@ -241,8 +240,14 @@ def fit_words(texts: list[str], toxic: np.ndarray, seed: int = 7) -> tuple[np.nd
         ids.append(bucket[use].astype(np.int32))
         bags.append(w[use])
     ids, bags = np.concatenate(ids), np.concatenate(bags)
-    used, ids = np.unique(ids[np.argsort(bags, kind="stable")], return_inverse=True)
+    ids = ids[np.argsort(bags, kind="stable")]
+    place = np.zeros(BUCKETS, np.int32)
+    place[ids] = 1
+    used = np.flatnonzero(place)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    ids = place[ids]
     n = np.bincount(bags, minlength=len(words))
+    del bags
     begin = np.cumsum(n) - n
     rng = np.random.default_rng(seed)
     model = _Softmax(len(used), rng)
@@ -282,7 +287,8 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray) -> Model:
         rest, own = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
         some = [texts[i] for i in rest]
         part = Model(fit_texts(some, toxic[rest]), *fit_words(some, toxic[rest]), np.zeros(0))
-        seen[own] = part.evidence([texts[i] for i in own])
+        for few in np.array_split(own, -(-len(own) // 16)):
+            seen[few] = part.evidence([texts[i] for i in few])
     return Model(fit_texts(texts, toxic), *fit_words(texts, toxic), _logistic(seen, toxic, weight))
 
 
