@@ -1,13 +1,19 @@
 """Main text of web pages by a maximum-scoring subsequence.
 
-A page is a sequence of text pieces and tags.  Words score positive and tags negative, by
-how often their kind occurs inside and outside of the main text of labelled pages; one
-linear scan finds the contiguous region of the highest total.  Where the region lies in
-an element that is marked as the page's article, it grows to all of it.  Menus, forms,
-adverts and the like that lie inside the region are left out, the rest is the text.
-
-The labelled pages are made by rule (:func:`labelled_pages`): layouts with and without
-semantic tags, their main text marked by comments.
+A page is a sequence of text pieces and tags.  Words score positive and tags negative; one
+linear scan finds the contiguous region of the highest total.  A word's score is its log
+odds of being main text by where it stands: in links or not, below which elements, in
+blocks of which class.  A tag's score is how often its kind occurs inside and outside of the
+main text.  Both come from labelled pages; no list says what is boilerplate.
+
+The region grows to the block around it where the words so gained score positive, and to
+all of an element whose own weights mark it as main.  Blocks inside the region whose words
+score negative in total and far below the others, such as menus, forms or adverts, are left
+out; the rest is the text.
+
+The pages at hand have no labels, so the labelled pages are made by rule
+(:func:`labelled_pages`): layouts with and without semantic tags and telling classes, their
+main text marked by comments.
 """
 
 from __future__ import annotations
@@ -19,6 +25,7 @@ import re
 from collections import Counter
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +40,7 @@ _BROKEN = re.compile(r"</[^>]*(?:>|\Z)|<[a-zA-Z][^<>]*\Z|<")
 #: What ends a run of attributes, and a quote that opens a value.
 _STOP = re.compile(r"[<>]|=\s*+[\"']")
 _END_RAW = {name: re.compile(rf"</{name}\s*>|\Z", re.IGNORECASE) for name in _RAW}
-_ATTR = re.compile(r"\b(?:class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+_ATTR = re.compile(r"(?:^|[\s\"'])(?:class|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _SPLIT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -43,21 +50,19 @@ BLOCK = frozenset(
 #: A start tag of a block ends an open paragraph; these end an open one of their own kind, too.
 _ENDS_OWN = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPE = frozenset("ul ol dl table article section div body aside nav main".split())
-#: Elements that are never main text.
-BOILER = frozenset("nav header footer aside form script style head menu button select dialog svg canvas audio video object noscript iframe label input textarea datalist".split())
-#: Words of class, id and role that mark what is never main text, and what is.
-BOILER_HINTS = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer gdpr header "
-    "login masthead menu modal nav navbar navigation newsletter notice notices notification pagination pager popup promo promotion related recommended "
-    "reply respond search share sharing shares sidebar signup social sponsor sponsored subscribe subscription tags toolbar widget widgets skip copyright "
-    "complementary contentinfo alert paywall sidenav topbar aside byline meta".split()
-)
-MAIN_HINTS = frozenset("article content entry post story main body text prose".split())
-MAIN = frozenset(("article", "main"))
+#: Blocks that can be left out as a whole, and whose class and role count: what pages are laid out with, but for the page itself.
+_PARTS = frozenset("address article aside details dialog div dl fieldset figure footer form header hgroup main menu nav ol section table td ul".split())
+#: What holds no text of the page (by the HTML standard).
+_NO_TEXT = frozenset("head script style template noscript object svg math canvas audio video select datalist button".split())
+#: Labelled pages that must show a feature for it to be learned.
+LEAST_PAGES = 3
+#: Log odds from which an element's own weights mark it as main.
+MAIN_ODDS = 1.0
+#: How far below the region's mean log odds a block's must be to be left out.
+GAP = 4.0
 #: Shares of a word's log odds that are tried as its weight.
 SHARES = (1.0, 0.5, 0.3, 0.2, 0.1, 0.05)
-_HINTS = BOILER_HINTS | MAIN_HINTS
-_ITEMS = frozenset("li dd dt td th option".split())
+_ITEMS = frozenset("li dd dt td th".split())
 
 
 def _tag_end(html: str, at: int, failed: set[int], last: dict[str, int]) -> int:
@@ -105,50 +110,55 @@ def _tokens(html: str):
             yield None, name, bool(m["end"]), html[m.end() : to]
 
 
-def _marks(attrs: str) -> tuple[bool, bool]:
-    """Whether class, id or role mark an element as boilerplate, and as main."""
-    if "=" not in attrs:
-        return False, False
-    words: set[str] = set()
-    for m in _ATTR.finditer(attrs):
-        words.update(x.lower() for x in _SPLIT.split(m[1] or m[2] or m[3] or ""))
-    found = words & _HINTS
-    return bool(found & BOILER_HINTS), bool(found & MAIN_HINTS)
+@lru_cache(1 << 14)
+def _features(name: str, attrs: str, inside: str) -> tuple[str, ...]:
+    """What an element says of the words in it: its name, the words of its class and role, and its name where it lies inside an article or main."""
+    out = ["in " + name]
+    if inside:
+        out.append(f"in {name} of {inside}")
+    if name in _PARTS and "=" in attrs:
+        for m in _ATTR.finditer(attrs):
+            out += ["class " + x.lower() for x in _SPLIT.split(m[1] or m[2] or m[3] or "") if x]
+    return tuple(dict.fromkeys(out))
 
 
 class Page:
-    """Pieces of a page: kinds and words for scoring, texts, block numbers, boilerplate flags and spans of main elements."""
+    """Pieces of a page (texts and tags) in order, and its blocks.
+
+    Of each piece: kind (of a tag; empty for texts), words, text, block (its line) and odds
+    (log odds of each of its words).  parts: (first piece, end, odds of its own, parent) of
+    each block of ``_PARTS``.
+    """
 
-    def __init__(self, html: str):
-        self.kind: list[str] = []  # of each piece
-        self.words: list[int] = []  # of a text piece; 0 for tags
+    def __init__(self, html: str, weights: dict[str, float] | None = None):
+        self.kind: list[str] = []
+        self.words: list[int] = []
         self.text: list[str] = []
         self.block: list[int] = []
-        self.skip: list[bool] = []
-        self.main: list[int] = []  # outermost main element that a piece lies in, -1 for none
-        self.spans: list[list[int]] = []  # pieces of each outermost main element
+        self.odds: list[float] = []
+        self.part: list[int] = []  # innermost part that a piece lies in, -1 for none
+        self.parts: list[list] = []
         self.label: list[bool] = []  # as comments of labelled pages say
-        self._read(html)
+        self.features: list[frozenset[str]] = []  # of text pieces, only without weights
+        self._read(html, weights)
 
-    def _read(self, html: str) -> None:
-        stack: list[tuple[str, bool, bool]] = []
+    def _read(self, html: str, weights: dict[str, float] | None) -> None:
+        stack: list[tuple] = []  # name, its new features, odds before it, part before it, article or main before it
         open_: Counter = Counter()
-        boiler = mains = links = block = 0
-        inside, span, item, heading = False, -1, 0, 0
+        known: Counter = Counter()  # features of the elements that are open
+        odds = weights["bias"] if weights else 0.0
+        block, hidden, inside, part, within = 0, 0, False, -1, ""
 
         def pop() -> None:
-            nonlocal boiler, mains, links, span, item, heading
-            name, bad, good = stack.pop()
+            nonlocal odds, part, within, hidden
+            name, new, odds, outer, within = stack.pop()
             open_[name] -= 1
-            boiler -= bad
-            links -= name == "a"
-            item -= name in _ITEMS
-            heading -= len(name) == 2 and name[0] == "h" and name[1].isdigit()
-            if good:
-                mains -= 1
-                if not mains:
-                    self.spans[span][1] = len(self.kind)
-                    span = -1
+            hidden -= name in _NO_TEXT
+            for f in new:
+                known[f] -= 1
+            if part != outer:
+                self.parts[part][1] = len(self.kind)
+                part = outer
 
         def close(names: tuple[str, ...], until: frozenset = frozenset()) -> None:
             for k in range(len(stack) - 1, -1, -1):
@@ -164,16 +174,18 @@ class Page:
             self.words.append(words)
             self.text.append(text)
             self.block.append(block)
-            self.skip.append(boiler > 0)
-            self.main.append(span)
+            self.odds.append(odds)
+            self.part.append(part)
             self.label.append(inside)
 
         for text, name, end, attrs in _tokens(html):
             if name is None:
+                if hidden:
+                    continue
                 text = _html.unescape(text)
-                n = len(text.split())
-                where = "boiler" if boiler else "link" if links else "heading" if heading else "item" if item else "plain"
-                piece(f"w:{where}:{mains > 0}", n, text)
+                if weights is None:
+                    self.features.append(frozenset(f for f, n in known.items() if n))
+                piece("", len(text.split()), text)
                 continue
             if not name:
                 if text in ("<!--[-->", "<!--]-->"):  # labelled pages only
@@ -181,8 +193,9 @@ class Page:
                 continue
             if name in BLOCK:
                 block += 1
+            kind, gap = name if name in BLOCK or name == "a" else "inline", " " if name in BLOCK or (name == "br" and not end) else ""
             if end:
-                piece("t:" + ("boiler" if boiler else name if name in BLOCK or name == "a" else "inline"), 0, " " if name in BLOCK else "")
+                piece(kind, 0, gap)
                 if open_[name]:
                     close((name,))
                 continue
@@ -190,50 +203,71 @@ class Page:
                 close(("p",), _SCOPE)
             if name in _ENDS_OWN and any(open_[x] for x in _ENDS_OWN[name]):
                 close(_ENDS_OWN[name], _SCOPE)
-            bad, good = _marks(attrs)
-            bad = name in BOILER or (bad and name not in ("html", "body", "article", "main"))
-            if name == "header" and mains and not boiler:  # the heading of an article
-                bad = False
-            good = not bad and (name in MAIN or (good and name in ("div", "section", "td")))
-            piece("t:" + ("boiler" if boiler or bad else name if name in BLOCK or name == "a" else "inline"), 0, " " if name in BLOCK or name == "br" else "")
             if name in VOID:
+                piece(kind, 0, gap)
                 continue
-            stack.append((name, bad, good))
+            new = [f for f in _features(name, attrs if name in _PARTS else "", within) if not known[f]]
+            own = sum(weights.get(f, 0.0) for f in new) if weights else 0.0
+            stack.append((name, new, odds, part, within))
             open_[name] += 1
-            boiler += bad
-            links += name == "a"
-            item += name in _ITEMS
-            heading += len(name) == 2 and name[0] == "h" and name[1].isdigit()
-            if good:
-                mains += 1
-                if mains == 1:
-                    span = len(self.spans)
-                    self.spans.append([len(self.kind), -1])
+            hidden += name in _NO_TEXT
+            known.update(new)
+            odds += own
+            if name in _PARTS:
+                self.parts.append([len(self.kind), -1, own, part])
+                part = len(self.parts) - 1
+            if name in ("article", "main"):
+                within = within or name
+            piece(kind, 0, gap)
         while stack:
             pop()
 
+    def scores(self, weights: dict[str, float]) -> list[float]:
+        """Of each piece: its words' odds, as the words of a piece go together times their share, or its tag's cost."""
+        share, other = weights["share"], weights["other tag"]
+        return [share * o * n if not kind else weights.get("tag " + kind, other) for kind, o, n in zip(self.kind, self.odds, self.words, strict=True)]
+
     def region(self, weights: dict[str, float]) -> tuple[int, int]:
-        """Start and end of the pieces of the highest total score; empty if none is positive."""
-        best, at, total, first = 0.0, (0, 0), 0.0, 0
-        get = weights.get
-        for k, (kind, words) in enumerate(zip(self.kind, self.words, strict=True)):
-            total += get(kind, -0.3) * words if kind[0] == "w" else get(kind, -1.0)
-            if total <= 0:
-                total, first = 0.0, k + 1
-            elif total > best:
-                best, at = total, (first, k + 1)
-        a, b = at
-        for s in {self.main[k] for k in range(a, b)} - {-1}:
-            a, b = min(a, self.spans[s][0]), max(b, self.spans[s][1])
+        """Start and end of the pieces of the main region; empty if no word scores positive."""
+        a, b = best_region(self.scores(weights))
+        around = []  # parts around the region's middle, innermost first
+        p = self.part[a + (b - a) // 2] if a < b else -1
+        while p >= 0:
+            around.append(p)
+            p = self.parts[p][3]
+        for p in around:
+            first, end, own, _ = self.parts[p]
+            if first <= a and b <= end and sum(o * n for o, n in zip(self.odds[first:a] + self.odds[b:end], self.words[first:a] + self.words[b:end], strict=True)) > 0:
+                a, b = first, end
+        for p in around:
+            first, end, own, _ = self.parts[p]
+            if own >= MAIN_ODDS:
+                a, b = min(a, first), max(b, end)
         return a, b
 
+    def left_out(self, a: int, b: int) -> list[bool]:
+        """Of each piece: whether it lies in a block whose words score negative in total, and on average far below those of pieces ``a`` to ``b``."""
+        total, words = [0.0] * (len(self.parts) + 1), [0] * (len(self.parts) + 1)
+        for p, o, n in zip(self.part, self.odds, self.words, strict=True):
+            total[p] += o * n
+            words[p] += n
+        for p in range(len(self.parts) - 1, -1, -1):  # a block comes after those around it
+            total[self.parts[p][3]] += total[p]
+            words[self.parts[p][3]] += words[p]
+        usual = sum(o * n for o, n in zip(self.odds[a:b], self.words[a:b], strict=True)) / max(sum(self.words[a:b]), 1)
+        out = [False] * (len(self.parts) + 1)
+        for p, (*_, outer) in enumerate(self.parts):
+            out[p] = total[p] < min(0.0, (usual - GAP) * words[p]) or (outer >= 0 and out[outer])
+        return [out[p] for p in self.part]
+
     def main_text(self, weights: dict[str, float]) -> str:
         a, b = self.region(weights)
+        skip = self.left_out(a, b)
         blocks: list[str] = []
         parts: list[str] = []
         now = -1
         for k in range(a, b):
-            if self.skip[k]:
+            if skip[k]:
                 continue
             if self.block[k] != now:
                 blocks.append("".join(parts))
@@ -243,8 +277,20 @@ class Page:
         return "\n".join(x for x in (" ".join(t.split()) for t in blocks) if x)
 
 
-def labelled_pages(count: int = 240, seed: int = 5) -> list[str]:
-    """Pages by rule; comments ``[`` and ``]`` enclose their main text."""
+def best_region(scores: list[float]) -> tuple[int, int]:
+    """Start and end of the contiguous scores of the highest positive total, (0, 0) if there is none; one linear scan."""
+    best, at, total, first = 0.0, (0, 0), 0.0, 0
+    for k, score in enumerate(scores):
+        total += score
+        if total <= 0:
+            total, first = 0.0, k + 1
+        elif total > best:
+            best, at = total, (first, k + 1)
+    return at
+
+
+def labelled_pages(count: int = 300, seed: int = 5) -> list[str]:
+    """Pages by rule; comments ``[`` and ``]`` enclose their main text, in which what is no part of it is enclosed by ``]`` and ``[``."""
     rng = random.Random(seed)
     sounds = ["".join(p) for p in zip("bdfgklmnprstv" * 5, "aeiou" * 13, strict=True)]
 
@@ -256,56 +302,97 @@ def labelled_pages(count: int = 240, seed: int = 5) -> list[str]:
         return "".join(f'<li><a href="/{k}">{words(1, 3)}</a></li>' for k in range(n))
 
     def paragraph() -> str:
-        inner = words(8, 60)
+        inner = words(1, 60)
         if rng.random() < 0.3:
-            inner += f' <a href="/x">{words(1, 3)}</a> <b>{words(1, 4)}</b> {words(4, 20)}'
-        return rng.choice((f"<p>{inner}</p>", f"<p>{inner}</p>", f"<p>{inner}", f"<blockquote>{inner}</blockquote>", f"<ul><li>{inner}</li><li>{words(3, 12)}</li></ul>", f"<h2>{words(2, 6)}</h2><p>{inner}</p>"))
+            inner += f' <a href="/x">{words(1, 3)}</a> <b>{words(1, 4)}</b> <em>{words(1, 2)}</em> {words(4, 20)}'
+        table = f"<table><tr><th>{words(1, 2)}<th>{words(1, 2)}</tr><tr><td>{inner}</td><td>{words(1, 3)}</td></tr></table>"
+        figure = f'<figure><img src="x"><figcaption>{words(3, 12)}</figcaption></figure>'
+        rest = f"<div>{inner}</div>", f"<section><h3>{words(1, 4)}</h3><p>{inner}</p></section>", f"<ol><li>{inner}<li>{words(3, 12)}</ol>", f"<dl><dt>{words(1, 2)}<dd>{inner}</dl>", f"<pre>{inner}</pre>", table, figure, f'<ul><li><a href="/y">{words(2, 6)}</a></li></ul>'
+        return rng.choice((f"<p>{inner}</p>",) * 9 + (f"<p>{inner}<br>{words(1, 9)}", f"<p><b>{inner}<br><p>{words(1, 20)}", f"<blockquote>{inner}</blockquote>", f"<ul><li>{inner}</li><li>{words(3, 12)}</li></ul>", f"<h2>{words(2, 6)}</h2><p>{inner}</p>") + rest)
+
+    def pick(line: str) -> str:
+        return rng.choice(line.split())
+
+    def blank() -> str:
+        """A class that tells nothing."""
+        return "".join(rng.choices("bcdfghjklmnpqrstvwxz", k=7))
+
+    def off(named: bool, inner: bool = False) -> str:
+        """What is no main text, beside or inside of it; inside, something must tell it apart."""
+        kind = rng.randrange(5)
+        name = (pick("ad ads advert advertisement banner promo sponsored"), pick("cookie-notice notice alert consent newsletter popup modal"), pick("share sharing social toolbar"), pick("related recommended more-links pagination breadcrumb tags"), pick("comments comment-list replies disqus"))[kind]
+        body = (f"<p>{words(3, 20)}</p>" if rng.random() < 0.5 else words(3, 15), f"<p>{words(6, 25)}</p><button>{words(1, 2)}</button>", f"<ul>{links(rng.randint(2, 5))}</ul>", f"<h3>{words(1, 3)}</h3><ul>{links(rng.randint(2, 8))}</ul>", "".join(f"<div><b>{words(1, 2)}</b><p>{words(3, 30)}</p></div>" for _ in range(rng.randint(1, 5))))[kind]
+        tag = rng.choice(("div", "div", "div", "section", "aside") if named else ("aside",) if inner else ("div", "div", "aside"))
+        return f'<{tag} class="{name if named else blank()}">{body}</{tag}>'
 
     out = []
     for _ in range(count):
         plain = rng.random() < 0.4  # no semantic tags
-        named = rng.random() < 0.5  # but telling classes
-        tag = lambda t, c, x: f'<div class="{c if named else "x" + str(rng.randint(1, 9))}">{x}</div>' if plain else f"<{t}>{x}</{t}>"  # noqa: E731, B023
-        menu = tag("nav", "menu", f"<ul>{links(rng.randint(3, 12))}</ul>")
-        top = tag("header", "header", f"<h1>{words(1, 3)}</h1>" + menu)
-        side = tag("aside", "sidebar", f"<h3>{words(1, 3)}</h3><ul>{links(rng.randint(2, 10))}</ul>" + (f"<p>{words(5, 15)}</p>" if rng.random() < 0.5 else ""))
-        advert = f'<div class="ad">{words(4, 15)}</div>' if rng.random() < 0.5 else ""
-        notice = f'<div class="cookie-notice"><p>{words(8, 25)}</p><button>{words(1, 1)}</button></div>' if rng.random() < 0.4 else ""
-        form = f'<form><label>{words(1, 3)}</label><input name="q"><button>{words(1, 2)}</button></form>' if rng.random() < 0.5 else ""
-        body = f"<h1>{words(3, 10)}</h1>" + "".join(paragraph() for _ in range(rng.randint(1, 12)))
+        named = rng.random() < 0.6  # but telling classes
+        tag = lambda t, c, x: f'<div class="{c if named else blank()}">{x}</div>' if plain else f"<{t}>{x}</{t}>"  # noqa: E731, B023
+        menu = tag("nav", pick("menu nav navbar navigation topnav"), f"<ul>{links(rng.randint(3, 12))}</ul>")
+        top = tag("header", pick("header masthead topbar"), f"<h1>{words(1, 3)}</h1>" + menu) if rng.random() < 0.5 else menu
+        side = tag("aside", pick("sidebar sidenav widget"), f"<h3>{words(1, 3)}</h3><ul>{links(rng.randint(2, 10))}</ul>" + (f"<p>{words(5, 15)}</p>" if rng.random() < 0.5 else ""))
+        form = f"<form><label>{words(1, 3)}</label><input name='q'><p>{words(1, 8)}</p><button>{words(1, 2)}</button></form>"
+        blocks = [paragraph() for _ in range(rng.randint(1, 14))]
+        if named or not plain:
+            for extra in [f"<aside>{words(3, 20)}</aside>"] * (rng.random() < 0.1) + [off(named, True)] * (rng.random() < 0.4) + [form] * (rng.random() < 0.1) + [f"<nav><ul>{links(3)}</ul></nav>"] * (rng.random() < 0.1):
+                blocks.insert(rng.randint(1, len(blocks)), f"<!--]-->{extra}<!--[-->")
+        title = f"<h1>{words(3, 10)}</h1>"
+        body = (f"<header>{title}<p>{words(2, 8)}</p></header>" if not plain and rng.random() < 0.3 else title) + "".join(blocks)
         main = f"<!--[-->{body}<!--]-->"
-        main = f'<div class="{rng.choice(("content", "post", "entry")) if named else "y"}">{main}</div>' if plain else rng.choice((f"<article>{main}</article>", f"<main>{main}</main>"))
-        replies = "".join(f"<div><b>{words(1, 2)}</b><p>{words(3, 30)}</p></div>" for _ in range(rng.randint(1, 5)))
-        comments = f'<div class="comments"><h3>{words(1, 2)}</h3>{replies}</div>' if rng.random() < 0.4 else ""
-        foot = tag("footer", "footer", f"&copy; {words(2, 12)} " + f"<ul>{links(rng.randint(0, 5))}</ul>")
-        parts = [top, advert, notice, *rng.sample([side, main], 2), comments, form, foot]
+        main = f'<div class="{pick("content post entry article story main-content post-body article-text") if named else blank()}">{main}</div>' if plain else rng.choice((f"<article>{main}</article>", f"<main>{main}</main>", f"<main><article>{main}</article></main>"))
+        foot = tag("footer", pick("footer copyright bottom"), f"&copy; {words(2, 12)} " + f"<ul>{links(rng.randint(0, 5))}</ul>")
+        around = [off(named) for _ in range(rng.randint(0, 2))] if named or not plain else []
+        parts = [top, *around, *rng.sample([side, main], 2), *([off(named)] if around else []), *([form] if rng.random() < 0.5 else []), foot]
         out.append(f"<html><head><title>{words(2, 8)}</title></head><body>{''.join(parts)}</body></html>")
     return out
 
 
 def fit(labelled: list[str]) -> dict[str, float]:
-    """Weight of each kind of piece: words mostly positive, tags negative.
+    """Weights from labelled pages.
 
-    Log odds of the kind inside and outside; as the words of a piece go together, they
-    count by the share that finds most pages' regions.
+    Features of words: a regularised logistic regression over all text pieces, each
+    weighing the root of its words, by Newton's method.  Tags: log odds of their kind inside and
+    outside of main text; a tag costs even where it is usual there, and no more than some
+    words bring.  Their balance, the share of a word, is that which finds most pages' text.
     """
+    pages = [Page(html) for html in labelled]
+    usual = Counter(f for page in pages for f in frozenset().union(*page.features))
+    names = sorted(f for f, n in usual.items() if n >= LEAST_PAGES)
+    place = {f: k for k, f in enumerate(names)}
+    texts = [k for page in pages for k, kind in enumerate(page.kind) if not kind]
+    rows = [(fs, page.label[k], page.words[k]) for page in pages for fs, k in zip(page.features, (k for k, kind in enumerate(page.kind) if not kind), strict=True)]
+    x = np.zeros((len(texts), len(names) + 1))
+    x[:, -1] = 1
+    for r, (fs, *_) in enumerate(rows):
+        x[r, [place[f] for f in fs if f in place]] = 1
+    y, w = np.array([label for _, label, _ in rows], float), np.sqrt([n for *_, n in rows])
+    beta = np.zeros(x.shape[1])
+    ridge = np.diag([0.5] * len(names) + [1e-3])
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        beta += np.clip(np.linalg.solve((x.T * (w * p * (1 - p))) @ x + ridge, x.T @ (w * (y - p)) - ridge @ beta), -3, 3)
+    found = {f: float(beta[k]) for f, k in place.items()} | {"bias": float(beta[-1]), "other tag": -0.5}
     inside: Counter = Counter()
     outside: Counter = Counter()
-    pages = [Page(html) for html in labelled]
     for page in pages:
-        for kind, words, label in zip(page.kind, page.words, page.label, strict=True):
-            (inside if label else outside)[kind] += words if kind[0] == "w" else 1
-    odds = {k: math.log((inside[k] + 0.5) / (outside[k] + 0.5)) for k in inside.keys() | outside.keys()}
+        for kind, label in zip(page.kind, page.label, strict=True):
+            if kind:
+                (inside if label else outside)[kind] += 1
+    for kind in inside.keys() | outside.keys():
+        found["tag " + kind] = max(-3.0, min(-0.02, math.log((inside[kind] + 0.5) / (outside[kind] + 0.5))))
     best: tuple[int, dict[str, float]] = (-1, {})
+    scored = [Page(html, found) for html in labelled]
     for share in SHARES:
-        # A tag costs even where it is usual in the text, and no more than some words bring.
-        found = {k: share * max(-3.0, min(3.0, v)) if k[0] == "w" else max(-3.0, min(-0.02, v)) for k, v in odds.items()}
+        tried = found | {"share": share}
         right = 0
-        for page in pages:
-            a, b = page.region(found)
-            right += all((a <= k < b) == label for k, label in enumerate(page.label) if page.words[k] and not page.skip[k])
+        for page in scored:
+            a, b = page.region(tried)
+            skip = page.left_out(a, b)
+            right += all((a <= k < b and not skip[k]) == label for k, label in enumerate(page.label) if page.words[k])
         if right > best[0]:
-            best = (right, found)
+            best = (right, tried)
     return best[1]
 
 
@@ -314,9 +401,10 @@ def weights() -> dict[str, float]:
     return fit(labelled_pages())
 
 
-def extract_text(html: str | None) -> str:
-    """Main text of one page, a line per block; empty if there is none."""
-    return Page(html).main_text(weights()) if html else ""
+def extract_text(html: str | None, found: dict[str, float] | None = None) -> str:
+    """Main text of one page, a line per block, by the weights ``found``; empty if there is none."""
+    found = found or weights()
+    return Page(html, found).main_text(found) if html else ""
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -325,14 +413,14 @@ def extract(pages: DataFrame) -> DataFrame:
     A null or empty page, and one without main text, has an empty text; repeated rows get
     a row each; other columns are ignored.
     """
-    rows = pages.select("page_id", "url", "html")
+    rows, found = pages.select("page_id", "url", "html"), weights()
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "html"):
-                text = [extract_text(h) for h in part.column("html").to_pylist()]
+                text = [extract_text(h, found) for h in part.column("html").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(text, pa.string())], ["page_id", "url", "text"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    found = map_arrow(rows, run, f"page_id {kind}, url string, text string")
-    return found.withColumn("n_chars", F.length("text").cast("long"))
+    texts = map_arrow(rows, run, f"page_id {kind}, url string, text string")
+    return texts.withColumn("n_chars", F.length("text").cast("long"))

@@ -152,13 +152,45 @@ def test_warc_of_odd_rows(spark):
 
 # HTML ---------------------------------------------------------------------
 def test_weights_find_generated_pages():
-    pages_ = html.labelled_pages(150, seed=77)
-    right = 0
-    for p in pages_:
-        body = p[p.index("<!--[-->") + 8 : p.index("<!--]-->")]
-        want = html.Page(f"<article>{body}</article>").main_text(dict.fromkeys(html.weights(), 1.0))
-        right += html.extract_text(p.replace("<!--[-->", "").replace("<!--]-->", "")) == want
-    assert right >= 0.95 * len(pages_)
+    """Pages with telling tags or classes nearly all, bare ones (nothing but div and random classes) mostly."""
+    weights, right = html.weights(), {True: [], False: []}
+    for text in html.labelled_pages(200, seed=77):
+        page = html.Page(text, weights)
+        a, b = page.region(weights)
+        skip = page.left_out(a, b)
+        marked = "<main" in text or "<article" in text or any(f'class="{c}"' in text for c in "content post entry article story main-content post-body article-text".split())
+        right[marked].append(all((a <= k < b and not skip[k]) == label for k, label in enumerate(page.label) if page.words[k]))
+    assert sum(right[True]) >= 0.95 * len(right[True]) and sum(right[False]) >= 0.5 * len(right[False]) and len(right[False]) > 20
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_best_region_against_brute_force(seed):
+    """Over random scores, and over those of real pages: no contiguous region scores higher."""
+    rng = random.Random(seed)
+    weights = html.weights()
+    rows = [[rng.choice((-3, -1, -0.5, 0, 0.5, 1, 2)) for _ in range(rng.randint(0, 40))] for _ in range(200)] + [html.Page(p, weights).scores(weights)[:300] for p in html.labelled_pages(6, seed=seed)]
+    for scores in rows:
+        a, b = html.best_region(scores)
+        best = max([0.0, *(sum(scores[i:j]) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1))]) if len(scores) <= 40 else max(np.subtract.outer(c := np.concatenate([[0], np.cumsum(scores)]), c)[np.tril_indices(len(c))])
+        assert abs(sum(scores[a:b]) - best) < 1e-6 and (a, b) != (0, 0) or best == 0
+
+
+@pytest.mark.parametrize("inside", ['<section id="related-work"><h2>K</h2><p>kept words</p></section>', '<p class="notice">kept words</p>', '<p class="text-share-price">kept words</p>', '<h2 id="search-trees">kept words</h2>', '<div id="tags-in-html"><p>kept words</p></div>', '<p class="meta">kept words</p>', "<ul><li><a href=x>kept words</a><li><a href=y>more</a></ul>", "<table><tr><td>kept words<td>more</table>"])
+def test_article_keeps_its_blocks(inside):
+    text = html.extract_text(f"<body><nav><a href=x>Home</a></nav><article><h1>T</h1><p>{'main words ' * 30}</p>{inside}<p>{'last words ' * 20}</p></article><footer>&copy; x</footer>")
+    assert "kept words" in text and text.startswith("T\nmain words") and text.endswith("last words")
+
+
+@pytest.mark.parametrize("inside", ['<div class="share"><ul><li><a href=1>gone</a><li><a href=2>gone</a></ul></div>', '<div class="ad-banner">gone <p>gone</p></div>', "<form><p>gone x</p><label>gone</label></form>", "<aside>gone beside the text</aside>", '<div class="comments"><p>gone reader says this</p></div>', "<nav><ul><li><a href=x>gone</a></ul></nav>", "<svg><text>gone</text></svg>"])
+def test_article_loses_what_is_no_part_of_it(inside):
+    text = html.extract_text(f"<body><article><h1>T</h1><p>{'main words ' * 30}</p>{inside}<p>{'last words ' * 20}</p></article>")
+    assert "gone" not in text and text.startswith("T\nmain words") and text.endswith("last words")
+
+
+def test_scan_decides_where_nothing_is_marked():
+    page = f"<div class=q1><ul><li><a href=a>Home a</a><li><a href=b>More b</a></ul></div><div class=w3><p>small advert here</p></div><div class=q9><h1>T</h1><p>{'main words ' * 30}</p><p>short</p><p>{'last words ' * 20}</p></div><div class=z2>&copy; bottom <ul><li><a>q</a></ul></div>"
+    text = html.extract_text(page)
+    assert text.startswith("T\nmain words") and text.endswith("last words") and "short" in text
 
 
 ARTICLE = "<h1>Title &amp; more</h1><p>First  <b>bold</b>\n text &eacute;&#8364;.</p><ul><li>One item<li>Two items</ul><p>Last <a href='/x'>linked</a> words here"

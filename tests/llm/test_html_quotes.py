@@ -17,7 +17,7 @@ def test_long_values_with_brackets(n, q):
             page = html.Page(f"<body>{tag}{MAIN}</body>")
             text = "".join(page.text)
             assert "xxx" not in text and "code()" not in text and ("after" in text) == ("after" in tag)
-            assert all(s for t, s in zip(page.text, page.skip, strict=True) if "gone" in t)
+            assert "gone" not in html.extract_text(f"<body>{tag}{MAIN}</body>")
 
 
 def test_a_quote_that_opens_no_value_is_a_character():
