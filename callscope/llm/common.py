@@ -46,6 +46,17 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def packed(docs: DataFrame, **more) -> DataFrame:
+    """All columns of ``docs`` as the fields of one column, row, beside the columns ``more``: names of the input and of operators can't clash."""
+    row = F.struct(*(docs[k].alias(f"c{k}") for k in range(len(docs.columns))))
+    return docs.select(row.alias("row"), *(c.alias(n) for n, c in more.items()))
+
+
+def unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` from the column row of :func:`packed`."""
+    return rows.select(*(F.col(f"row.c{k}").alias(n) for k, n in enumerate(docs.columns)))
+
+
 def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from callscope.llm.common import settle
+from callscope.llm.common import packed, settle, unpacked
 
 #: Weights of the sources in order, repeating; words of the mix as a share of all words; passes over a source at most.
 WEIGHTS, SHARE, PASSES = (5, 2, 1), 1.5, 2
@@ -25,12 +25,12 @@ WEIGHTS, SHARE, PASSES = (5, 2, 1), 1.5, 2
 SLICES, UNITS = 4096, 4
 
 
-def _ranked(docs: DataFrame) -> DataFrame:
-    """``docs`` with its source as a key that sorts nulls last, size, place in the shuffle, and bucket."""
-    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    place = F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), "text").cast("binary"))
-    key = F.when(F.col("source").isNull(), "1").otherwise(F.concat(F.lit("0"), "source"))
-    return docs.withColumns({"_key": key, "_size": size, "_place": place}).withColumn("_bucket", F.substring("_place", 1, 3))
+def _places(doc_id, text, source) -> dict:
+    """Of a document: its source as a key that sorts nulls last, size, place in the shuffle, and bucket."""
+    place = F.md5(F.concat_ws(":", doc_id.cast("string"), text).cast("binary"))
+    size = F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    key = F.when(source.isNull(), "1").otherwise(F.concat(F.lit("0"), source))
+    return {"_key": key, "_size": size, "_place": place, "_bucket": F.substring(place, 1, 3)}
 
 
 def targets(sources: DataFrame) -> DataFrame:
@@ -96,18 +96,22 @@ def mix_plan(docs: DataFrame) -> DataFrame:
     the order in which they are met, so one may be taken twice and the other once.  An
     empty table gives no rows; other columns are ignored.
     """
-    ranked = settle(_ranked(docs.select("doc_id", "text", "source")).drop("text", "source"))
+    ranked = settle(docs.select("doc_id", *(c.alias(n) for n, c in _places(F.col("doc_id"), F.col("text"), F.col("source")).items())))
     plan = Plan(ranked)
     rows = plan.timed(ranked).withColumn("copies", plan.copies())
     return rows.select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("copies") * F.col("_size")).cast("long").alias("taken"), "copies")
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """``docs`` mixed: each row as many times as the mix takes it, columns as in ``docs``."""
-    ranked = _ranked(docs)
-    plan = Plan(settle(ranked.select("_key", "_bucket", "_place", "_size")))
+    """``docs`` (doc_id, text, source) mixed: each row as many times as the mix takes it, columns as in ``docs``, whatever their names.
+
+    Nulls, empty texts, ties and repeated rows are treated as in :func:`mix_plan`; a row
+    without words comes once.
+    """
+    ranked = packed(docs, **_places(docs["doc_id"], docs["text"], docs["source"]))
+    plan = Plan(settle(ranked.drop("row")))
     rows = plan.timed(ranked).withColumn("_copies", plan.copies())
-    return rows.where(F.col("_copies") > 0).withColumn("_n", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+    return unpacked(rows.where(F.col("_copies") > 0).withColumn("_n", F.explode(F.sequence(F.lit(1), "_copies"))), docs)
 
 
 ORACLE = rf"""

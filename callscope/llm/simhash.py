@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callscope.llm.common import cut_hot, grouped, map_arrow, settle, slices, union_labels
+from callscope.llm.common import cut_hot, grouped, map_arrow, packed, settle, slices, union_labels, unpacked
 from callscope.llm.components import connected_components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
@@ -193,7 +193,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates, that with the smallest id; columns as in ``docs``.
 
-    A row without id stays only where its whole group has none.
+    Null, empty and wordless texts have fingerprint zero and are near each other; of rows
+    with equal id and text one stays; a row without id stays only where its whole group has none.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     fps = settle(fingerprints(rows))
@@ -201,6 +202,6 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("i"), F.col("h"))
     first = fps.join(classes, "fp").groupBy("class").agg(F.min(rank).alias("k"))
     keep = settle(first.select(F.col("k.i").alias("_i"), F.col("k.h").alias("_h")))
-    keyed = docs.withColumn("_row_hash", F.xxhash64(text_col))
-    kept = keyed.join(keep, keyed[id_col].eqNullSafe(keep["_i"]) & (keyed["_row_hash"] == keep["_h"]), "left_semi")
-    return kept.dropDuplicates([id_col, "_row_hash"]).select(*docs.columns)
+    keyed = packed(docs, id=F.col(id_col), h=F.xxhash64(text_col))
+    kept = keyed.join(keep, keyed["id"].eqNullSafe(keep["_i"]) & (keyed["h"] == keep["_h"]), "left_semi")
+    return unpacked(kept.dropDuplicates(["id", "h"]), docs)

@@ -6,6 +6,7 @@ import random
 from collections import defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -93,6 +94,20 @@ def test_mix_of_odd_rows(odd, none):
     assert mixing.mix_plan(none).count() == mixing.mix(none).count() == 0
 
 
+@pytest.mark.parametrize("names", [("source_size", "target", "_size"), ("_key", "_bucket", "_copies"), ("row", "_place", "_times"), ("id", "_row_hash", "h"), ("_i", "_none", "_h"), ("sig", "keys", "k")])
+def test_columns_of_any_name_are_carried(spark, names):
+    """Stages return the values of extra columns whose names they might use themselves."""
+    from callscope.llm import langid, shingles, simhash, toxicity
+
+    rows = [(i, f"word{i} and {'more ' * (i % 5)}text {i}", "en", "ab"[i % 2], f"x{i}", i * 10, None if i % 3 else f"z{i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, f"doc_id bigint, text string, lang string, source string, `{names[0]}` string, `{names[1]}` bigint, `{names[2]}` string")
+    labels = spark.createDataFrame([(i, 1, i % 4 // 3) for i in range(40)], "doc_id bigint, quality int, toxic int")
+    want = {r[0]: r for r in rows}
+    for out in (mixing.mix(docs), shingles.drop_near_duplicates(docs), simhash.drop_near_duplicates(docs), langid.drop_unknown(docs), toxicity.drop_toxic(docs, labels)):
+        found = out.collect()
+        assert out.columns == docs.columns and found and all(tuple(r) == want[r[0]] for r in found)
+
+
 @pytest.fixture(scope="module")
 def tables():
     con = duckdb.connect()
@@ -126,30 +141,27 @@ def test_every_operator_has_a_query():
 
 
 def test_pipeline_against_brute_force(spark):
-    """Each stage's decisions, found again from the operators' own verdicts and plain Python."""
-    from callscope.llm import bpe, langid, simhash, toxicity
+    """Each stage's decisions in plain Python: all pairs of shingle sets, the mix and the library's ids; the two classifiers' models are tested by themselves."""
+    from test_shingles import kept
+    from tokenizers import Tokenizer
+
+    from callscope.llm import bpe, langid, toxicity
+    from callscope.llm.common import held_out
 
     docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
-    bad = {r.doc_id for r in toxicity.score_documents(docs, labels).collect() if r.predicted}
-    rest = docs.where(~docs.doc_id.isin(*bad))
-    lost = {r.doc_id for r in langid.identify(rest).collect() if r.lang_pred == "und" or r.score < langid.KEEP_SCORE}
-    rest = rest.where(~rest.doc_id.isin(*lost))
-    fps = {r.doc_id: int(r.fingerprint, 16) for r in simhash.near_duplicates(rest).collect()}
-    group = {i: i for i in fps}
-
-    def find(x):
-        while group[x] != x:
-            x = group[x]
-        return x
-
-    for i in fps:
-        for j in fps:
-            if i < j and (fps[i] ^ fps[j]).bit_count() <= 4:
-                a, b = find(i), find(j)
-                group[max(a, b)] = min(a, b)
-    rows = [(r.doc_id, r.text, r.source) for r in rest.collect() if find(r.doc_id) == r.doc_id]
+    rows = {r.doc_id: (r.text, r.source) for r in docs.collect()}
+    model = toxicity.train(docs, labels)
+    rows = {i: r for i, r in rows.items() if model.scores([r[0] or ""])[0] < toxicity.THRESHOLD}
+    model = langid.train(docs.where(docs.doc_id.isin(*rows)))
+    assert not docs.where(held_out(docs.doc_id)).isEmpty()
+    verdicts = {i: [x[0] for x in model.predict([r[0] or ""])] for i, r in rows.items()}
+    rows = {i: r for i, r in rows.items() if verdicts[i][0] != "und" and verdicts[i][1] >= langid.KEEP_SCORE}
+    rows = [(i, *rows[i]) for i in kept([(i, r[0]) for i, r in sorted(rows.items())])]
     copies, *_ = mixed(rows)
-    coder = bpe.tokenizer(bpe.default_tokenizer())
-    want = sorted((i, coder.encode(t or "")) for (i, t, _), c in zip(rows, copies, strict=True) for _ in range(c))
-    got = sorted((r.doc_id, bytes(r.ids)) for r in corpus_pipeline.run(spark, DATA).collect())
+    library = Tokenizer.from_file(bpe.default_tokenizer())
+    library.no_truncation()
+    library.no_padding()
+    ids = {i: library.encode(t or "", add_special_tokens=False).ids for i, t, _ in rows}
+    want = sorted((i, ids[i]) for (i, *_), c in zip(rows, copies, strict=True) for _ in range(c))
+    got = sorted((r.doc_id, np.frombuffer(r.ids, "<u4").tolist()) for r in corpus_pipeline.run(spark, DATA).collect())
     assert got == want
