@@ -185,3 +185,12 @@ def test_odd_vectors(spark):
 def test_layout_follows_the_number_of_vectors():
     small, large = vectors.layout(1000), vectors.layout(10**9)
     assert small[0] < large[0] and small[1] < large[1] <= vectors.MOST_TABLES
+
+
+def test_signs_that_part_a_pair_at_the_threshold():
+    import math
+
+    for bits in (8, 80, 700):
+        most, p = vectors.most_parted(bits), math.acos(vectors.THRESHOLD) / math.pi
+        tail = lambda k: sum(math.comb(bits, i) * p**i * (1 - p) ** (bits - i) for i in range(k + 1, bits + 1))  # noqa: E731, B023
+        assert tail(most) <= vectors.MISSED * 1.01 and (most == bits or tail(most - 1) > vectors.MISSED * 0.99)
