@@ -1,14 +1,14 @@
-"""Tokens, signatures of requests, cache keys and messages."""
+"""Tokens, signatures of requests, messages and progress."""
 
 from __future__ import annotations
 
 import hashlib
 import hmac
-import json
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +17,9 @@ LANGUAGES = {".py": "python", ".js": "javascript", ".jsx": "javascript", ".ts":
 #: Token counting without a vocabulary: words, runs of digits up to three, single symbols.
 _TOKEN = re.compile(r"[^\W\d_]+|\d{1,3}|[^\w\s]|_+")
 
+#: The same for the JVM.
+_JAVA_TOKEN = r"(?U)[\w&&[^\d_]]+|\d{1,3}|[^\w\s]|_+"
+
 
 def suffix(path: Column) -> Column:
     """Lower-case suffix of a path's last part, with its dot; empty if there is none."""
@@ -34,13 +37,19 @@ def is_supported(path: Column) -> Column:
     return suffix(path).isin(*LANGUAGES)
 
 
+def count_tokens(text: str | None) -> int:
+    """Tokens of one text by the pattern."""
+    return len(_TOKEN.findall(text)) if text and text.strip() else 0
+
+
 def token_counter(tokenizer=None):
-    """Column function that counts tokens of a text; ``tokenizer`` is a callable from text to a number, by default a pattern."""
-    count = tokenizer or (lambda text: len(_TOKEN.findall(text)))
+    """Column function that counts tokens of a text; ``tokenizer`` is a callable from text to a number, by default a pattern that stays in the JVM."""
+    if tokenizer is None:
+        return lambda text: F.regexp_count(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), F.lit(_JAVA_TOKEN)).cast("int")
 
     @F.pandas_udf(T.IntegerType())
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: count(t) if t and t.strip() else 0).astype("int32")
+        return texts.map(lambda t: tokenizer(t) if t and t.strip() else 0).astype("int32")
 
     return run
 
@@ -58,15 +67,6 @@ def hmac_valid(secret: str):
     return run
 
 
-def cache_key(text: str, model: str, dimensions: int) -> str:
-    """Key of an embedding: SHA-256 of the ASCII JSON of [1, model, dimensions, text]."""
-    return hashlib.sha256(json.dumps([1, model, dimensions, text], separators=(",", ":")).encode()).hexdigest()
-
-
-def cache_key_column(text: Column, model: str, dimensions: int) -> Column:
-    return F.udf(lambda t: None if t is None else cache_key(t, model, dimensions), T.StringType())(text)
-
-
 def message_text(content: Column) -> Column:
     """Text of a message: itself, or the joined texts of a JSON array of text blocks."""
     blocks = F.from_json(content, "array<struct<type:string,text:string>>")
@@ -84,6 +84,20 @@ def progress_message(done: Column, total: Column, path: Column) -> Column:
     return F.format_string("Parsed %d of %d files: %s", done, total, path)
 
 
+def progress_records(rows: DataFrame, low: int = 20, high: int = 80) -> DataFrame:
+    """Rows (stream, seq, path) with done (1 to total, by seq), total, progress (from ``low`` to ``high`` per cent) and message, per stream."""
+    w = W.partitionBy("stream")
+    rows = rows.withColumns({"done": F.row_number().over(w.orderBy("seq")), "total": F.count(F.lit(1)).over(w)})
+    return rows.withColumns({"progress": (low + F.floor(F.col("done") * (high - low) / F.col("total"))).cast("int"), "message": progress_message(F.col("done"), F.col("total"), F.col("path"))})
+
+
+def context(rows: DataFrame, keys: list[str], order: list[str], text: str, use: Column) -> DataFrame:
+    """keys and context: the texts of the rows to ``use`` (null if there are none), joined by line feeds in order."""
+    mine = F.sort_array(F.collect_list(F.when(use & F.col(text).isNotNull(), F.struct(*order, text))))
+    per = rows.groupBy(*keys).agg(mine.alias("m"))
+    return per.select(*keys, F.when(F.size("m") > 0, F.array_join(F.transform("m", lambda x: x[text]), "\n")).alias("context"))
+
+
 def ndjson(*columns: Column) -> Column:
     """A compact JSON record of the columns, without its nulls."""
     return F.to_json(F.struct(*columns))

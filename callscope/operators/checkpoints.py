@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -17,5 +19,6 @@ def cut(df: DataFrame) -> DataFrame:
             if not sc.master.startswith("local[") and sc.master != "local":
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             found = tempfile.mkdtemp(prefix="callscope-")
+            atexit.register(shutil.rmtree, found, ignore_errors=True)
         sc.setCheckpointDir(found)
     return df.checkpoint()

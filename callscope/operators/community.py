@@ -22,7 +22,8 @@ from callscope.schema import EXTERNAL, FUNCTION, MIN_LABELED_COMMUNITY, UNGROUPE
 
 #: Edges of a repository up to which one task clusters it: some 100 bytes each in a worker.
 KERNEL_EDGES = 2_000_000
-ROUNDS = 12
+#: Rounds of the joins in which the number of moving nodes must fall below the least so far; else they end.
+PATIENCE = 6
 SINGLETON_WARNING = 0.25
 
 
@@ -155,11 +156,13 @@ def _cluster(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"repo_name": pdf["repo_name"].iloc[0], "node": names, "community": order[rank].astype(np.int64)})
 
 
-def _moved(edges: DataFrame, rounds: int) -> DataFrame:
+def _moved(edges: DataFrame, patience: int = PATIENCE) -> DataFrame:
     """(repo_name, node, community name) by rounds of simultaneous local moving over joins.
 
     In a round half of the nodes, by a hash that changes, may move to the community of the
-    largest gain, which keeps neighbours from swapping for ever.
+    largest gain, which keeps neighbours from swapping for ever.  Rounds go on until neither
+    half moves, or until ``patience`` of them in a row have not brought the number of moves
+    to a new least: what then moves on swaps without an end.
     """
     linked = cut(edges.where(F.col("t").isNotNull()).select("repo_name", "s", "t").where(F.col("s") != F.col("t")))
     both = linked.unionByName(linked.select("repo_name", F.col("t").alias("s"), F.col("s").alias("t"))).groupBy("repo_name", "s", "t").agg(F.count(F.lit(1)).alias("w"))
@@ -167,7 +170,8 @@ def _moved(edges: DataFrame, rounds: int) -> DataFrame:
     degree = both.groupBy("repo_name", F.col("s").alias("node")).agg(F.sum("w").cast("double").alias("k"))
     total = degree.groupBy("repo_name").agg(F.sum("k").alias("m2"))
     state = cut(degree.withColumn("community", F.col("node")))
-    for r in range(rounds):
+    r, least, since, still = 0, None, 0, 0
+    while True:
         sums = state.groupBy("repo_name", "community").agg(F.sum("k").alias("tot"))
         near = both.join(state.select("repo_name", F.col("node").alias("t"), "community"), ["repo_name", "t"]).groupBy("repo_name", "s", "community").agg(F.sum("w").alias("into"))
         mine = state.select("repo_name", F.col("node").alias("s"), "k", F.col("community").alias("own"))
@@ -180,7 +184,11 @@ def _moved(edges: DataFrame, rounds: int) -> DataFrame:
         moved = best.select("repo_name", F.col("s").alias("node"), "k", F.when(awake, F.col("best")).otherwise(F.col("own")).alias("community"), (awake & (F.col("best") != F.col("own"))).alias("changed"))
         moved = cut(moved)
         state = moved.drop("changed")
-        if r and not moved.where("changed").limit(1).count():
+        moves, r = moved.where("changed").count(), r + 1
+        still = still + 1 if not moves else 0
+        since = 0 if least is None or moves < least else since + 1
+        least = moves if least is None else min(least, moves)
+        if still == 2 or since >= patience:
             break
     return _parts(linked, state)
 
@@ -209,7 +217,7 @@ def detect(g: Graph, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
     found = edges.join(big, "repo_name", "left_anti").groupBy("repo_name").applyInPandas(_cluster, "repo_name string, node string, community bigint")
     if not big.isEmpty():
         large = edges.join(big, "repo_name", "left_semi")
-        moved = _moved(large, ROUNDS)
+        moved = _moved(large)
         alone = large.select("repo_name", F.col("s").alias("node")).distinct().join(moved, ["repo_name", "node"], "left_anti").withColumn("community", F.col("node"))
         # Numbers from a hash: a running number would need all names of a repository in one task.
         found = found.unionByName(moved.unionByName(alone).withColumn("community", F.xxhash64("community").bitwiseAND(F.lit((1 << 62) - 1))))
@@ -222,14 +230,20 @@ def write_back(functions: DataFrame, found: DataFrame) -> DataFrame:
     return functions.drop("leiden_community").join(found, ["repo_name", "entity_id"], "left")
 
 
-def report(functions: DataFrame, edges: DataFrame) -> DataFrame:
-    """Per repository: communities, functions, singletons and their share (0 without functions), projected nodes and edges, whether to warn."""
+def report(functions: DataFrame, edges: DataFrame, repositories: DataFrame | None = None) -> DataFrame:
+    """Per repository: communities, functions, singletons and their share (0 without functions), projected nodes and edges, whether to warn.
+
+    Of ``repositories`` (repo_name), those without functions or edges have zeros.
+    """
     sizes = functions.where(F.col("leiden_community").isNotNull()).groupBy("repo_name", "leiden_community").agg(F.count(F.lit(1)).alias("n"))
     rows = sizes.groupBy("repo_name").agg(F.count(F.lit(1)).alias("community_count"), F.sum("n").alias("function_count"), F.count_if(F.col("n") == 1).alias("singleton_count"))
     nodes = edges.select("repo_name", F.explode(F.array("s", "t")).alias("node")).where(F.col("node").isNotNull()).groupBy("repo_name").agg(F.count_distinct("node").alias("projected_nodes"))
     links = edges.groupBy("repo_name").agg((2 * F.count("t")).alias("projected_relationships"))
     share = F.when(F.col("community_count") > 0, F.col("singleton_count") / F.col("community_count")).otherwise(0.0)
-    rows = rows.join(nodes, "repo_name", "left").join(links, "repo_name", "left").withColumn("singleton_ratio", share)
+    if repositories is not None:
+        rows = repositories.select("repo_name").distinct().join(rows, "repo_name", "left")
+    rows = rows.join(nodes, "repo_name", "left").join(links, "repo_name", "left")
+    rows = rows.select("repo_name", *(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in rows.columns if c != "repo_name")).withColumn("singleton_ratio", share)
     return rows.withColumn("warning", F.col("singleton_ratio") > SINGLETON_WARNING)
 
 

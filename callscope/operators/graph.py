@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from callscope.functions import view
+from callscope.operators.checkpoints import cut
 from callscope.schema import EXTERNAL, FUNCTION, UNGROUPED_ID
 
 CALLER_LIMIT, WINDOW_LIMIT, NAME_SAMPLE, PATH_SAMPLE = 100, 200, 15, 5
@@ -52,6 +53,11 @@ def _linked(g: Graph, callers: DataFrame, called: DataFrame) -> DataFrame:
     return g.calls.join(t, ["repo_name", "target_kind", "target_key"]).join(c, ["repo_name", "caller_id"])
 
 
+def by(rows: DataFrame, *columns: str) -> DataFrame:
+    """Rows in order of columns, nulls last.  Operators leave their rows unordered; those who show them ask for it."""
+    return rows.orderBy(*(F.col(c).asc_nulls_last() for c in columns))
+
+
 def _named(name: str | None) -> Column:
     return F.lit(True) if name is None else (F.col("name") == name) | (F.col("qualified_name") == name)
 
@@ -71,11 +77,11 @@ def callers(g: Graph, name: str | None = None, limit: int = CALLER_LIMIT) -> Dat
     return grouped.withColumn("_n", F.row_number().over(W.partitionBy("repo_name", "func_name").orderBy(*order))).where(F.col("_n") <= limit).drop("_n")
 
 
-def outgoing(g: Graph, name: str | None = None) -> DataFrame:
-    """What functions of this name call, by caller's file and name; of all functions without a name."""
+def outgoing(g: Graph, name: str | None = None, ordered: bool = False) -> DataFrame:
+    """What functions of this name call, of all functions without a name; ``ordered``: by caller's file and name, target and its file."""
     rows = _linked(g, g.functions.where(_named(name)), targets(g))
     rows = rows.select("repo_name", _display("c_").alias("caller_name"), F.col("c_file").alias("caller_file"), _display("t_").alias("target_name"), F.col("t_file").alias("target_file"), (F.col("target_kind") == EXTERNAL).alias("is_external"))
-    return rows.orderBy(*(F.col(c).asc_nulls_last() for c in ("caller_file", "caller_name", "target_name", "target_file")))
+    return by(rows, "caller_file", "caller_name", "target_name", "target_file") if ordered else rows
 
 
 def grouped_dependencies(out: DataFrame) -> DataFrame:
@@ -86,20 +92,22 @@ def grouped_dependencies(out: DataFrame) -> DataFrame:
     return rows.groupBy("repo_name", "caller_name", "caller_file").agg(listed.alias("dependencies"), F.count(F.lit(1)).alias("n"))
 
 
-def file_list(g: Graph) -> DataFrame:
-    return g.files.select("repo_name", F.col("path").alias("file_path")).orderBy("repo_name", "file_path")
+def file_list(g: Graph, ordered: bool = False) -> DataFrame:
+    rows = g.files.select("repo_name", F.col("path").alias("file_path"))
+    return by(rows, "repo_name", "file_path") if ordered else rows
 
 
-def functions_in_file(g: Graph, path: str | None = None) -> DataFrame:
-    """Functions of a file (or of all) by start line and name; only of files that exist."""
+def functions_in_file(g: Graph, path: str | None = None, ordered: bool = False) -> DataFrame:
+    """Functions of a file (or of all), only of files that exist; ``ordered``: by file, start line and name."""
     at = F.lit(True) if path is None else F.col("file_path") == path
     rows = g.functions.where(at).select("repo_name", "file_path", _display().alias("function_name"), "start_line")
     kept = rows.join(g.files.select("repo_name", F.col("path").alias("file_path")), ["repo_name", "file_path"], "left_semi")
-    return kept.orderBy("repo_name", "file_path", F.col("start_line").asc_nulls_last(), F.col("function_name").asc_nulls_last())
+    return by(kept, "repo_name", "file_path", "start_line", "function_name") if ordered else kept
 
 
-def external_list(g: Graph) -> DataFrame:
-    return g.external_functions.select("repo_name", F.col("name").alias("function_name")).orderBy("repo_name", "function_name")
+def external_list(g: Graph, ordered: bool = False) -> DataFrame:
+    rows = g.external_functions.select("repo_name", F.col("name").alias("function_name"))
+    return by(rows, "repo_name", "function_name") if ordered else rows
 
 
 def subsystems(g: Graph) -> DataFrame:
@@ -146,9 +154,23 @@ def window(g: Graph, limit: int | None = WINDOW_LIMIT) -> DataFrame:
     return rows.orderBy("repo_name", "kind", "id", F.col("edge").asc_nulls_last(), F.col("target_kind").asc_nulls_last(), F.col("target").asc_nulls_last()).limit(limit)
 
 
+def running_number(rows: DataFrame, group: str, *order: str) -> DataFrame:
+    """``rows`` with ordinal, from 0 within each ``group`` in ``order``, no group in one task.
+
+    Rows are dealt by ranges of (group, order); a row's number is its place in its range plus
+    the rows of its group in the ranges before.
+    """
+    ranged = cut(rows.repartitionByRange(group, *order).withColumn("_range", F.spark_partition_id()))
+    counts = ranged.groupBy(group, "_range").agg(F.count(F.lit(1)).alias("_rows"))
+    before = W.partitionBy(group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # a row per range
+    starts = counts.select(group, "_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    own = F.row_number().over(W.partitionBy(group, "_range").orderBy(*order)) - 1
+    return ranged.withColumn("_own", own).join(starts, [group, "_range"]).withColumn("ordinal", (F.col("_own") + F.col("_start")).cast("bigint")).drop("_range", "_own", "_start")
+
+
 def positioned(n: DataFrame) -> DataFrame:
     """Nodes on a grid in order of repository, kind and id."""
-    rows = n.withColumn("ordinal", F.row_number().over(W.partitionBy("repo_name").orderBy("kind", "id")) - 1)
+    rows = running_number(n, "repo_name", "kind", "id")
     x, y = view.grid_position(F.col("ordinal"))
     return rows.withColumns({"x": x.cast("bigint"), "y": y.cast("bigint")})
 
@@ -209,10 +231,10 @@ def most_connected(n: DataFrame, e: DataFrame) -> DataFrame:
 
 
 def adjacency(e: DataFrame) -> DataFrame:
-    """Neighbours of each node in either direction, sorted, and the number of edges."""
-    there = e.select("repo_name", F.col("source").alias("id"), F.col("target").alias("other"))
-    back = e.select("repo_name", F.col("target").alias("id"), F.col("source").alias("other"))
-    return there.unionByName(back).groupBy("repo_name", "id").agg(F.sort_array(F.collect_set("other")).alias("neighbours"), F.count(F.lit(1)).alias("n_edges"))
+    """Neighbours of each node in either direction: repo_name, id, neighbour and the number of edges between them, a row each, as a hub may have any number."""
+    there = e.select("repo_name", F.col("source").alias("id"), F.col("target").alias("neighbour"))
+    back = e.select("repo_name", F.col("target").alias("id"), F.col("source").alias("neighbour"))
+    return there.unionByName(back).groupBy("repo_name", "id", "neighbour").agg(F.count(F.lit(1)).alias("n_edges"))
 
 
 def with_both_ends(e: DataFrame, n: DataFrame) -> DataFrame:
@@ -302,24 +324,26 @@ def community_samples(functions: DataFrame) -> DataFrame:
     return sizes.join(names, both, "left").join(paths, both, "left").withColumnRenamed("leiden_community", "comm_id")
 
 
-def flat_callers(g: Graph, name: str | None = None) -> DataFrame:
-    """The earlier callers query: distinct callers of a name, with id, name, file and line."""
+def flat_callers(g: Graph, name: str | None = None, ordered: bool = False) -> DataFrame:
+    """The earlier callers query: distinct callers of a name, with id, name, file and line; ``ordered``: by file, line and id."""
     rows = g.calls.join(targets(g).where(_named(name)).select("repo_name", F.col("kind").alias("target_kind"), F.col("key").alias("target_key")), ["repo_name", "target_kind", "target_key"], "left_semi")
     found = g.functions.join(rows.select("repo_name", F.col("caller_id").alias("entity_id")), ["repo_name", "entity_id"], "left_semi")
-    return found.select(F.col("entity_id").alias("id"), "name", "qualified_name", F.col("file_path").alias("file"), F.col("start_line").alias("line")).distinct().orderBy("file", "line", "id")
+    found = found.select(F.col("entity_id").alias("id"), "name", "qualified_name", F.col("file_path").alias("file"), F.col("start_line").alias("line")).distinct()
+    return by(found, "file", "line", "id") if ordered else found
 
 
-def flat_nodes(g: Graph) -> DataFrame:
-    """The earlier node list: functions and external callees, external ones last."""
+def flat_nodes(g: Graph, ordered: bool = False) -> DataFrame:
+    """The earlier node list: functions and external callees; ``ordered``: external ones last, by qualified name and id."""
     inside = g.functions.select(F.col("entity_id").alias("id"), "name", "qualified_name", F.col("file_path").alias("file"), F.col("start_line").alias("line"), F.lit(False).alias("external"))
     none = F.lit(None)
     outside = g.external_functions.select(F.concat(F.lit("external::"), "name").alias("id"), "name", F.col("name").alias("qualified_name"), none.cast("string").alias("file"), none.cast("int").alias("line"), F.lit(True).alias("external"))
-    return inside.unionByName(outside).orderBy("external", F.col("qualified_name").asc_nulls_last(), "id")
+    rows = inside.unionByName(outside)
+    return by(rows, "external", "qualified_name", "id") if ordered else rows
 
 
-def flat_edges(links: DataFrame, locations: bool = True) -> DataFrame:
-    """The earlier edge list from resolved links: source, target, count (1 if unknown), locations (empty if unknown)."""
+def flat_edges(links: DataFrame, locations: bool = True, ordered: bool = False) -> DataFrame:
+    """The earlier edge list from resolved links: source, target, count (1 if unknown), locations (empty if unknown); ``ordered``: by source and target."""
     cols = [F.col("caller_id").alias("source"), F.col("target_id").alias("target"), F.coalesce("count", F.lit(1)).alias("count")]
     if locations:
         cols.append(F.coalesce("locations", F.array().cast("array<int>")).alias("locations"))
-    return links.select(*cols).orderBy("source", "target")
+    return by(links.select(*cols), "source", "target") if ordered else links.select(*cols)

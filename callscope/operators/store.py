@@ -7,6 +7,7 @@ so a reader never sees half of a write, and a failed write leaves the former one
 
 from __future__ import annotations
 
+import time
 import uuid
 from urllib.parse import quote
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from callscope.operators import changes, community, resolve
 from callscope.operators.checkpoints import cut
 from callscope.operators.graph import Graph
-from callscope.operators.vectors import embed_functions
+from callscope.operators.vectors import embed_functions, known_embeddings
 from callscope.schema import EXTERNAL, TABLES
 
 
@@ -44,15 +45,20 @@ def function_rows(parsed: DataFrame) -> DataFrame:
     return first.select("repo_name", "entity_id", "r.*").drop("pos")
 
 
-def build(parsed: DataFrame, provider=None, dimensions: int = 64, tokenizer_model: str = "pattern", total_tokens: int | None = None) -> Graph:
-    """A whole graph from parsed files: definitions, resolved calls, embeddings, communities and labels."""
+def build(parsed: DataFrame, provider=None, dimensions: int = 64, tokenizer_model: str = "pattern", total_tokens: int | None = None, cache: DataFrame | None = None) -> Graph:
+    """A whole graph from parsed files: definitions, resolved calls, embeddings, communities and labels.
+
+    Files are read and parsed once: their records are kept before anything uses them.
+    ``total_tokens`` overrides the sum of the records' tokens.
+    """
     spark = parsed.sparkSession
+    parsed = cut(parsed)
     functions = cut(function_rows(parsed))
     resolved = cut(resolve.resolve(resolve.sites_of(functions), functions.select("repo_name", "entity_id", "file_path", "qualified_name", "name")))
     calls = resolve.call_table(resolved)
     ambiguous = resolve.ambiguous_names(resolved).withColumnRenamed("caller_id", "entity_id")
     rows = functions.drop("calls").join(ambiguous, ["repo_name", "entity_id"], "left").withColumn("ambiguous_calls", F.coalesce("ambiguous_calls", F.array().cast("array<string>")))
-    rows = embed_functions(rows, provider, dimensions) if provider else rows.withColumn("embedding", F.lit(None).cast("array<float>"))
+    rows = cut(embed_functions(rows, provider, dimensions, cache)) if provider else rows.withColumn("embedding", F.lit(None).cast("array<float>"))
     rows = rows.withColumn("leiden_community", F.lit(None).cast("bigint"))
     now = F.current_timestamp()
     files = parsed.select("repo_name", F.col("file_path").alias("path")).distinct().withColumn("updated_at", now)
@@ -92,8 +98,14 @@ class Store:
         return self.spark.read.parquet(head).first()["version"] if self._exists(f"{head}/_SUCCESS") else None
 
     def write(self, repo: str, g: Graph) -> str:
-        """Replace the repository's rows in all tables; returns the version."""
+        """Replace the repository's rows in all tables; returns the version.
+
+        Two functions of one id are an error, raised before readers see anything.
+        """
         repo, version = repo.strip(), uuid.uuid4().hex
+        twice = g.functions.where(F.col("repo_name") == repo).groupBy("entity_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("entity_id").isNotNull() & (F.col("n") > 1)).first()
+        if twice:
+            raise ValueError(f"{twice['n']} functions have the id {twice['entity_id']}")
         for table, schema in TABLES.items():
             names = [c.split()[0] for c in schema.split(", ")]
             rows = getattr(g, table).where(F.col("repo_name") == repo).select(*names).drop("repo_name")
@@ -123,19 +135,53 @@ class Store:
         return sorted(r["repo"] for r in heads.where(F.col("version").isNotNull()).select("repo").toLocalIterator())
 
     def delete(self, repo: str) -> None:
-        """Hide all of a repository's rows; a blank name is an error."""
+        """Hide all of a repository's rows; a blank name is an error.  :meth:`vacuum` frees them."""
         self._set_head(repo, None)
 
     def delete_all(self) -> None:
         for repo in self.repositories():
             self.delete(repo)
 
+    def vacuum(self, keep_seconds: float = 86_400.0) -> int:
+        """Remove versions that no head names and that were written more than ``keep_seconds`` ago; returns how many folders went.
+
+        Readers that opened an older version have that long to finish.  A write in progress
+        is younger than its own start, so it must take less.
+        """
+        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path
+        fs = fs_path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        heads = {quote(r["repo"], safe=""): r["version"] for r in self.spark.read.parquet(f"{self.root}/heads").select("repo", "version").toLocalIterator()} if self._exists(f"{self.root}/heads") else {}
+        oldest, gone = time.time() * 1000 - keep_seconds * 1000, 0
+        for table in TABLES:
+            if not self._exists(f"{self.root}/{table}"):
+                continue
+            for repo in fs.listStatus(fs_path(f"{self.root}/{table}")):
+                name = repo.getPath().getName().removeprefix("repo_name=")
+                for version in fs.listStatus(repo.getPath()):
+                    if version.getPath().getName() != f"version={heads.get(name)}" and version.getModificationTime() <= oldest:
+                        gone += fs.delete(version.getPath(), True)
+        return gone
+
+    def all_functions(self) -> DataFrame:
+        """Narrow function rows (with embeddings) of all stored repositories: one scan of the table, and a join with the versions that readers see."""
+        names = ["repo_name", "entity_id", "name", "qualified_name", "file_path", "embedding"]
+        if not self._exists(f"{self.root}/heads") or not self._exists(f"{self.root}/functions"):
+            return empty(self.spark).functions.select(*names)
+        heads = self.spark.read.parquet(f"{self.root}/heads").where(F.col("version").isNotNull()).select(F.col("repo").alias("repo_name"), "version")
+        rows = self.spark.read.option("basePath", f"{self.root}/functions").parquet(f"{self.root}/functions").withColumn("repo_name", F.url_decode("repo_name"))
+        return rows.join(heads, ["repo_name", "version"]).select(*names)
+
     def apply(self, repo: str, parsed: DataFrame, deleted: list[str], provider=None, dimensions: int = 64) -> str:
-        """An incremental update: changed files (parsed) and deleted paths; the token baseline stays."""
+        """An incremental update: changed files (parsed) and deleted paths; the token baseline stays.
+
+        The changed files are fetched and parsed once, all before anything is written.
+        Texts that the stored graph has a vector for are not embedded again.
+        """
         g = self.read(repo)
+        parsed = cut(parsed)
         functions = cut(function_rows(parsed))
         rows = functions.drop("calls")
-        rows = embed_functions(rows, provider, dimensions) if provider else rows.withColumn("embedding", F.lit(None).cast("array<float>"))
+        rows = cut(embed_functions(rows, provider, dimensions, known_embeddings(g.functions))) if provider else rows.withColumn("embedding", F.lit(None).cast("array<float>"))
         files = parsed.select("repo_name", F.col("file_path").alias("path")).distinct().withColumn("updated_at", F.current_timestamp())
         gone = self.spark.createDataFrame([(repo, p) for p in deleted], "repo_name string, path string")
         rows = rows.withColumn("ambiguous_calls", F.array().cast("array<string>")).withColumn("leiden_community", F.lit(None).cast("bigint"))

@@ -80,6 +80,36 @@ def embed_texts(texts: DataFrame, provider, dimensions: int, request: int = 512)
     return trimmed.mapInPandas(run, "text string, embedding array<float>")
 
 
+def known_embeddings(functions: DataFrame) -> DataFrame:
+    """(text, embedding) of the functions that have a vector, as a cache for :func:`embed_functions`."""
+    text = F.trim(embedding_text(F.col("qualified_name"), F.col("file_path")))
+    return functions.where(F.col("embedding").isNotNull()).select(text.alias("text"), "embedding").dropDuplicates(["text"])
+
+
+class EmbeddingCache:
+    """Vectors by model and text in Parquet under ``root``, so nothing is embedded twice across ingests.
+
+    Each model and dimension has a folder; writers add files beside each other, and of a
+    text that two of them added at once either vector serves.
+    """
+
+    def __init__(self, spark, root: str, model: str, dimensions: int):
+        self.spark, self.dimensions = spark, dimensions
+        self.path = f"{root.rstrip('/')}/model={hashlib.blake2b(model.encode(), digest_size=12).hexdigest()}/dimensions={dimensions}"
+
+    def read(self) -> DataFrame:
+        """(text, embedding), empty if nothing was stored."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return self.spark.createDataFrame([], "text string, embedding array<float>")
+        return self.spark.read.schema("text string, embedding array<float>").parquet(self.path)
+
+    def add(self, functions: DataFrame) -> None:
+        """Store the vectors of functions whose texts the cache lacks."""
+        fresh = known_embeddings(functions).where(F.size("embedding") == self.dimensions)
+        fresh.join(self.read().select("text"), "text", "left_anti").write.mode("append").parquet(self.path)
+
+
 def embed_functions(functions: DataFrame, provider, dimensions: int, cache: DataFrame | None = None) -> DataFrame:
     """Functions with their embedding: each distinct input is embedded once, and not at all if the cache (text, embedding) has it in the right length."""
     rows = functions.drop("embedding").withColumn("text", embedding_text(F.col("qualified_name"), F.col("file_path")))

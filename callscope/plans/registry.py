@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -224,10 +225,10 @@ def most_connected(spark, d):
     return graph.most_connected(_all_nodes(g), graph.edges(g))
 
 
-@query("""SELECT repo_name, id, string_agg(DISTINCT other, '|' ORDER BY other) AS neighbours, count(*) AS n_edges
-FROM (SELECT repo_name, source AS id, target AS other FROM edges UNION ALL SELECT repo_name, target, source FROM edges) GROUP BY ALL""")
+@query("""SELECT repo_name, id, neighbour, count(*) AS n_edges
+FROM (SELECT repo_name, source AS id, target AS neighbour FROM edges UNION ALL SELECT repo_name, target, source FROM edges) GROUP BY ALL""")
 def adjacency(spark, d):
-    return graph.adjacency(graph.edges(sample_graph(spark, d))).withColumn("neighbours", joined("neighbours"))
+    return graph.adjacency(graph.edges(sample_graph(spark, d)))
 
 
 @query("SELECT e.* FROM edges e WHERE (repo_name, target_kind, target) IN (SELECT (repo_name, kind, id) FROM nodes)")
@@ -446,7 +447,23 @@ def stale_functions(spark, d):
     return changes.stale_functions(defs, at, defs.where(F.col("start_line") % 5 != 0)).select("repo_name", "entity_id", "file_path")
 
 
-@query()
+def _again(sql: str) -> str:
+    """The mapping's expressions for resolution once more, over the definitions that an update leaves."""
+    part = sql[sql.index("sites AS (") : sql.index("targets AS (")].rstrip().rstrip(",")
+    for name in ("defs", "sites", "asked", "cand", "hits", "m0", "m1", "m2", "outcome", "internal", "outside", "calls"):
+        part = re.sub(rf"\b{name}\b", f"{name}_after", part)
+    return part
+
+
+@query(
+    f""",
+defs_after AS (SELECT * FROM defs WHERE NOT (start_line % 7 = 1 AND start_line % 3 <> 0)),
+{_again(SQL)}
+SELECT c.* FROM calls_after c JOIN defs d ON c.repo_name = d.repo_name AND c.caller_id = d.entity_id WHERE d.start_line % 3 = 0
+UNION ALL
+SELECT c.* FROM calls c JOIN defs_after d ON c.repo_name = d.repo_name AND c.caller_id = d.entity_id
+WHERE d.start_line % 3 <> 0 AND (c.target_kind <> 'Function' OR (c.repo_name, c.target_key) IN (SELECT (repo_name, entity_id) FROM defs_after))"""
+)
 def incremental_apply(spark, d):
     """A third of the files parsed again, another few deleted: the calls that result."""
     g = sample_graph(spark, d)
@@ -475,9 +492,8 @@ WITH c AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn, text) FILTER
 
 def _context(spark, d):
     rows = table(spark, d, "conversations")
-    mine = F.sort_array(F.collect_list(F.when((F.col("role") == "assistant") & F.col("text").isNotNull(), F.struct("turn", "text"))))
-    per = rows.groupBy("conv_id").agg(mine.alias("m"), F.sum(F.length("text")).alias("total"))
-    return per.select("conv_id", F.when(F.size("m") > 0, F.array_join(F.transform("m", lambda x: x["text"]), "\n")).alias("context"), "total")
+    total = rows.groupBy("conv_id").agg(F.sum(F.length("text")).alias("total"))
+    return text.context(rows, ["conv_id"], ["turn"], "text", F.col("role") == "assistant").join(total, "conv_id")
 
 
 @query(_CONTEXT + "SELECT conv_id, context FROM c", model=False)
@@ -515,9 +531,8 @@ def anti_join(spark, d):
 
 @query("SELECT user_id, event_id, (20 + (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) * 60) // count(*) OVER (PARTITION BY user_id))::INTEGER AS progress FROM events", model=False)
 def progress_steps(spark, d):
-    w = W.partitionBy("user_id")
-    k = F.row_number().over(w.orderBy("ts", "event_id"))
-    return table(spark, d, "events").select("user_id", "event_id", (20 + F.floor(k * 60 / F.count(F.lit(1)).over(w))).cast("int").alias("progress"))
+    rows = table(spark, d, "events").select(F.col("user_id").alias("stream"), F.struct("ts", "event_id").alias("seq"), F.lit("x").alias("path"), "event_id")
+    return text.progress_records(rows).select(F.col("stream").alias("user_id"), "event_id", "progress")
 
 
 @query("SELECT event_id, ('{\"event_id\":' || event_id || ',\"kind\":\"' || event_type || '\"}') AS record FROM events", model=False)

@@ -30,7 +30,7 @@ TABLES = {
     "communities": "repo_name string, community_id bigint, name string, description string",
 }
 PUSH_EVENT = (
-    "before string, after string, size int, forced boolean, created boolean, deleted boolean, "
+    "pushed_at timestamp, before string, after string, size int, forced boolean, created boolean, deleted boolean, "
     "commits array<struct<added:array<string>,modified:array<string>,removed:array<string>>>, "
     "repository struct<name:string,full_name:string,owner:struct<login:string,name:string>>"
 )

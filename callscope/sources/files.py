@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from callscope.functions.identity import normalize_path
 from callscope.functions.text import LANGUAGES, is_supported
 from callscope.parse import parse_source
 from callscope.schema import PARSED_FILE
@@ -27,30 +28,62 @@ def _relative(path, root: str):
     return F.regexp_replace(path, "^.*?" + re.escape(bare).replace("\\/", "/") + "/", "")
 
 
-def _files(spark: SparkSession, root: str) -> DataFrame:
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+def _listed(spark: SparkSession, root: str, folder_wanted: Callable[[str], bool], file_wanted: Callable[[str], bool]) -> list[str]:
+    """Files below ``root`` by the file system's listing alone; folders that are not wanted are never entered."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    top = hadoop.Path(root)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    base, found, todo = fs.makeQualified(top).toString().rstrip("/"), [], [top]
+    while todo:
+        for status in fs.listStatus(todo.pop()):
+            path = status.getPath().toString()
+            below = path[len(base) + 1 :]
+            if status.isDirectory():
+                if folder_wanted(below):
+                    todo.append(status.getPath())
+            elif file_wanted(below):
+                found.append(path)
+    return sorted(found)
+
+
+def _files(spark: SparkSession, root: str, folder_wanted: Callable[[str], bool], file_wanted: Callable[[str], bool]) -> DataFrame:
+    """(path, content) of the wanted files; no other file is read."""
+    paths = _listed(spark, root, folder_wanted, file_wanted)
+    if not paths:
+        return spark.createDataFrame([], "path string, content binary")
+    escaped = [re.sub(r"([*?\[\]{}\\])", r"\\\1", p) for p in paths]
+    found = spark.read.format("binaryFile").load(escaped)
     return found.select(_relative(F.col("path"), root).alias("path"), "content")
 
 
+def _supported(path: str) -> bool:
+    name = path.rsplit("/", 1)[-1]
+    return "." in name[1:] and "." + name.rsplit(".", 1)[-1].lower() in LANGUAGES
+
+
 def source_files(spark: SparkSession, root: str, ignored: tuple[str, ...] = IGNORED) -> DataFrame:
-    """Files of supported languages below ``root``: (path, content), none in an ignored folder.
+    """Files of supported languages below ``root``: (path, content), none in an ignored folder, which is not even listed.
 
     ``orderBy("path")`` gives their fixed order.
     """
-    folders = F.slice(F.split("path", "/"), F.lit(1), F.size(F.split("path", "/")) - 1)
-    return _files(spark, root).where(~F.exists(folders, lambda p: p.isin(*ignored)) & is_supported(F.col("path")))
+    return _files(spark, root, lambda p: p.rsplit("/", 1)[-1] not in ignored, _supported)
 
 
 def script_files(spark: SparkSession, root: str) -> DataFrame:
     """Python files only, suffix in lower case, without the folders of ``SCRIPT_IGNORED``."""
-    folders = F.slice(F.split("path", "/"), F.lit(1), F.size(F.split("path", "/")) - 1)
-    return _files(spark, root).where(~F.exists(folders, lambda p: p.isin(*SCRIPT_IGNORED)) & F.endswith("path", F.lit(".py")))
+    return _files(spark, root, lambda p: p.rsplit("/", 1)[-1] not in SCRIPT_IGNORED, lambda p: p.endswith(".py"))
 
 
 def seed_files(spark: SparkSession, root: str, ignored: tuple[str, ...] = IGNORED) -> DataFrame:
     """The seeding scan: a folder is left out if an ignored name is anywhere in its path, so ``rebuild/`` is, too."""
-    folder = F.regexp_replace("path", "[^/]*$", "")
-    return _files(spark, root).where(~F.rlike(folder, F.lit("|".join(map(re.escape, ignored)))) & is_supported(F.col("path")))
+    return _files(spark, root, lambda p: not any(i in p for i in ignored), _supported)
+
+
+def requested_files(changed: DataFrame, repo: str) -> DataFrame:
+    """(repo_name, path, sha) to fetch for the files of a change request (filename, status, sha): supported ones that were not removed, by path once."""
+    rows = changed.where((F.coalesce("status", F.lit("")) != "removed") & is_supported(F.col("filename")))
+    rows = rows.select(F.lit(repo).alias("repo_name"), normalize_path(F.col("filename")).alias("path"), "sha")
+    return rows.groupBy("repo_name", "path").agg(F.max("sha").alias("sha"))
 
 
 def extract_archive(content: bytes) -> list[tuple[str, bytes]]:
@@ -124,9 +157,10 @@ def _as_struct(ddl: str) -> str:
     return StructType.fromDDL(ddl).simpleString()[len("struct<") : -1]
 
 
-def parsed_records(parsed: DataFrame, complete: bool = True) -> DataFrame:
-    """repo_name and the columns of PARSED_FILE; with ``complete`` any file that failed is an error."""
+def parsed_records(parsed: DataFrame, complete: bool = True, ordered: bool = False) -> DataFrame:
+    """repo_name and the columns of PARSED_FILE; with ``complete`` any file that failed is an error, else it is left out; ``ordered``: by path."""
     if complete:
         bad = F.raise_error(F.concat(F.lit("could not parse "), "path", F.lit(": "), "error"))
         parsed = parsed.withColumn("parsed", F.when(F.col("error").isNull(), F.col("parsed")).otherwise(bad.cast(parsed.schema["parsed"].dataType)))
-    return parsed.where(F.col("parsed").isNotNull()).select("repo_name", "parsed.*")
+    rows = parsed.where(F.col("parsed").isNotNull()).select("repo_name", "parsed.*")
+    return rows.orderBy("repo_name", "file_path") if ordered else rows

@@ -107,3 +107,25 @@ def test_legend_order_and_fallback(spark):
     df = spark.createDataFrame([("r", str(k), c, n, x) for k, c, n, x in rows], "repo_name string, id string, community bigint, community_name string, community_description string")
     got = [(r.id, r["count"], r.name) for r in graph.legend(df).collect()]
     assert got == [(3, 3, "Cluster #3"), (2, 2, "Cluster #2"), (7, 2, "Auth"), (1, 1, "Cluster #1"), (None, 1, None)]
+
+
+def test_report_of_an_empty_repository(spark):
+    g = source_graph(spark, [3])
+    g.functions = community.write_back(g.functions, community.detect(g))
+    repositories = spark.createDataFrame([("o/r",), ("o/empty",)], "repo_name string")
+    got = {r.repo_name: r.asDict() for r in community.report(g.functions, community.projection(g), repositories).collect()}
+    assert got["o/empty"] == {"repo_name": "o/empty", "community_count": 0, "function_count": 0, "singleton_count": 0, "projected_nodes": 0, "projected_relationships": 0, "singleton_ratio": 0.0, "warning": False}
+    assert (got["o/r"]["community_count"], got["o/r"]["function_count"], got["o/r"]["projected_nodes"]) == (1, 3, 4)
+
+
+def test_running_numbers_against_sorted_rows(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = sorted({("big" if rng.random() < 0.9 else f"r{rng.randrange(3)}", rng.choice("FG"), str(rng.randrange(10**6))) for _ in range(3000)})
+    df = spark.createDataFrame(rows, "repo_name string, kind string, id string").repartition(7)
+    want = {}
+    for r in rows:
+        want[r] = sum(1 for x in want if x[0] == r[0])
+    got = {(r.repo_name, r.kind, r.id): r.ordinal for r in graph.running_number(df, "repo_name", "kind", "id").collect()}
+    assert got == want

@@ -2,6 +2,7 @@
 
 import io
 import json
+import uuid
 import zipfile
 
 import pytest
@@ -100,12 +101,98 @@ def test_update_keeps_incoming_edges(spark, tree, tmp_path):
     assert [c["caller"] for c in json.loads(e.blast_radius("o/r", "validate"))["callers"]] == ["charge"]
     assert e.external_dependencies("o/r") == "No external dependencies found."
     assert {r.path for r in g.files.collect()} == {"src/auth.py", "src/pay.js"}
+    assert g.functions.where("embedding IS NULL").count() == 0  # an update keeps and makes vectors
+    assert "- added (src/auth.py)" in e.search("Function: added File: src/auth.py", "o/r", 1)
     e.delete("o/r")
     assert e.structure("o/r") == "" and e.store.repositories() == []
     with pytest.raises(ValueError):
         e.delete(" ")
 
 
+def test_files_are_fetched_and_parsed_once(spark, tree, tmp_path):
+    """A counting fetcher, provider and parser: each file once per update, each text once for good."""
+    log = tmp_path / "log"
+    log.mkdir()
+
+    def note(kind, what):
+        (log / f"{kind}-{uuid.uuid4().hex}").write_text(str(what))
+
+    def embedder(texts):
+        for t in texts:
+            note("embed", t)
+        return vectors.hash_embedder(8)(list(texts))
+
+    def seen(kind):
+        return sorted(p.read_text() for p in log.glob(f"{kind}-*"))
+
+    def fetch(repo, path, sha):
+        note("fetch", path)
+        return f"def one():\n    two()\ndef two():\n    return '{sha}'\n".encode()
+
+    e = Engine(spark, str(tmp_path / "store"), embedder, 8)
+    e.ingest("o/r", tree)
+    assert len(seen("embed")) == 5
+    e.update("o/r", "s1", ["lib/a.py", "lib/b.py"], [], fetch)
+    assert seen("fetch") == ["lib/a.py", "lib/b.py"] and len(seen("embed")) == 9
+    e.update("o/r", "s2", ["lib/a.py"], ["lib/b.py"], fetch)
+    assert len(seen("fetch")) == 3 and len(seen("embed")) == 9  # same texts: the stored vectors serve
+    total = e.context_metrics("o/r", "x")["total_repo_tokens"]
+    assert total > 20
+
+
+def test_embedding_cache(spark, tree, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def embedder(texts):
+        (calls / uuid.uuid4().hex).write_text(str(len(texts)))
+        return vectors.hash_embedder(8)(list(texts))
+
+    made = lambda: sum(int(p.read_text()) for p in calls.iterdir())
+    for store in ("one", "two"):
+        e = Engine(spark, str(tmp_path / store), embedder, 8, vectors.EmbeddingCache(spark, str(tmp_path / "cache"), "hash", 8))
+        e.ingest("o/r", tree)
+        assert e.graph("o/r").functions.where("embedding IS NULL").count() == 0
+    assert made() == 5 and vectors.EmbeddingCache(spark, str(tmp_path / "cache"), "hash", 16).read().count() == 0
+
+
+def test_search_reads_all_repositories_at_once(spark, tree, tmp_path):
+    e = Engine(spark, str(tmp_path / "store"))
+    for repo in ("o/r", "o/s", "o/gone"):
+        e.ingest(repo, tree)
+    e.ingest("o/s", tree)
+    e.delete("o/gone")
+    rows = e.store.all_functions()
+    assert sorted({r.repo_name for r in rows.collect()}) == ["o/r", "o/s"] and rows.count() == 10
+    assert "login (src/auth.py)" in e.search("Function: login File: src/auth.py", "o/s", 2)
+    assert e.store.vacuum(3600) == 0 and e.store.vacuum(0) == 12  # the older version of one, and what is deleted
+    assert e.structure("o/s") and e.store.all_functions().count() == 10
+
+
+def test_equal_ids_are_an_error(spark, engine, tmp_path):
+    from callscope.operators.store import Store
+
+    g = engine.graph("o/r")
+    g.functions = g.functions.unionByName(g.functions.limit(1))
+    s = Store(spark, str(tmp_path / "store"))
+    with pytest.raises(ValueError, match="have the id"):
+        s.write("o/r", g)
+    assert s.version("o/r") is None
+
+
+def test_change_request_files(spark):
+    rows = spark.createDataFrame([("a.py", "added", "1"), ("b.py", "removed", "1"), ("c.md", "added", "1"), ("./d.go", None, "2"), ("d.go", "modified", "3")], "filename string, status string, sha string")
+    assert sorted((r.path, r.sha) for r in files.requested_files(rows, "o/r").collect()) == [("a.py", "1"), ("d.go", "3")]
+
+
+def test_ignored_folders_are_not_read(spark, tree):
+    import os
+
+    blocked = os.path.join(tree, "node_modules")
+    plan = files.source_files(spark, tree)._jdf.inputFiles()
+    assert all(blocked not in p for p in plan) and len(list(plan)) == 3
+
+
 def test_a_failed_parse_writes_nothing(spark, tmp_path):
     (tmp_path / "t").mkdir()
     (tmp_path / "t/good.py").write_text("def f():\n    pass\n")
@@ -115,7 +202,8 @@ def test_a_failed_parse_writes_nothing(spark, tmp_path):
         e.ingest("o/r", str(tmp_path / "t"))
     assert e.store.version("o/r") is None
     steps = [json.loads(x) for x in e.progress("o/r", str(tmp_path / "t"))]
-    assert [s["progress"] for s in steps] == [10, 80, 80] and "1 of 2" in steps[-1]["error"]
+    assert [s["progress"] for s in steps] == [10, 50, 80, 80, 80] and "1 of 2" in steps[-1]["error"]
+    assert steps[1]["status"] == "Parsed 1 of 2 files: bad.py"
 
 
 def archive(members):
@@ -134,6 +222,21 @@ def test_archives(spark):
             files.extract_archive(archive(bad))
 
 
+def test_the_last_push_wins(spark, tree, tmp_path):
+    """Whatever file a push arrives in: order is by the event's own time."""
+    e = Engine(spark, str(tmp_path / "store"))
+    e.ingest("o/r", tree)
+    event = {"before": "b" * 40, "size": 1, "forced": False, "created": False, "deleted": False, "repository": {"full_name": "o/r"}}
+    new = event | {"pushed_at": "2024-01-02T00:00:00Z", "after": "a" * 40, "commits": [{"added": ["src/x.py"], "modified": [], "removed": ["src/pay.js"]}]}
+    old = event | {"pushed_at": "2024-01-01T00:00:00Z", "after": "c" * 40, "commits": [{"added": ["src/pay.js", "src/y.py"], "modified": [], "removed": ["src/x.py"]}]}
+    (tmp_path / "events").mkdir()
+    (tmp_path / "events/1.json").write_text(json.dumps(new))
+    (tmp_path / "events/2.json").write_text(json.dumps(old))
+    e.follow(push.push_events(spark, str(tmp_path / "events")), lambda repo, path, sha: f"def at_{sha[0]}():\n    pass\n".encode(), str(tmp_path / "checkpoint")).awaitTermination()
+    got = {r.file_path: r.name for r in e.graph("o/r").functions.where("file_path LIKE 'src/_.py'").collect()}
+    assert got == {"src/x.py": "at_a", "src/y.py": "at_c"} and "src/pay.js" not in e.structure("o/r")
+
+
 def test_pushes_as_a_stream(spark, tree, tmp_path):
     e = Engine(spark, str(tmp_path / "store"))
     e.ingest("o/r", tree)

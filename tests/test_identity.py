@@ -96,8 +96,3 @@ def test_colours_and_names(spark):
     assert results(df, view.community_name(F.col("n"), F.col("c"))) == ["Auth", "Cluster #2", None]
     df = spark.createDataFrame([(0, "", "n", "p"), (1, None, None, "p")], "i int, q string, n string, p string")
     assert results(df, view.node_label(F.col("q"), F.col("n"), F.col("p"), F.lit("File"))) == ["n", "p"]
-
-
-def test_cache_key_is_ascii_json():
-    want = hashlib.sha256(b'[1,"m",3,"\\u00e9"]').hexdigest()
-    assert text.cache_key("é", "m", 3) == want
