@@ -67,7 +67,11 @@ def held_out(doc_id) -> F.Column:
 
 
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
-    """``df.mapInArrow`` with batches of at most ``BATCH_BYTES``, or of one row: rows may be long, and a worker holds a few batches."""
+    """``df.mapInArrow`` with batches of at most ``BATCH_BYTES``, or of one row: rows may be long, and a worker holds a few batches.
+
+    Lowers ``spark.sql.execution.arrow.maxBytesPerBatch`` of the session and leaves it so: it
+    is read when the result is computed.
+    """
     name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
     now = conf.get(name).lower().removesuffix("b")
     if not now.isdigit() or int(now) > BATCH_BYTES:

@@ -14,11 +14,10 @@ from callscope.llm.common import cut_hot, grouped, map_arrow, packed, settle, sl
 from callscope.llm.components import connected_components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
-#: A fingerprint is cut into BLOCKS bit fields.  Two that differ in at most RADIUS bits
-#: agree on BLOCKS - RADIUS of them, so one candidate table per choice of fields misses none.
-BLOCKS = 6
 #: Rows of a candidate bucket above which it is dealt into pairs of blocks.
 BUCKET_ROWS = 2048
+#: Different fingerprints of a bucket aimed at, were they spread evenly.
+AIM = 512
 
 
 def shingle_hashes(text: bytes, n: int = SHINGLE) -> list[int]:
@@ -135,11 +134,27 @@ def link_groups(fps: np.ndarray, starts: np.ndarray, radius: int = RADIUS, most:
     return linked, labels[linked]
 
 
-def link_fingerprints(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, cap: int = BUCKET_ROWS) -> DataFrame:
+def fields(n: int, radius: int = RADIUS) -> int:
+    """Bit fields that fingerprints are cut into.
+
+    Two that differ in at most ``radius`` bits agree on all but ``radius`` of the fields, so
+    one candidate table per choice of those misses none.  More fields make more tables
+    with longer keys, so the work per fingerprint grows slowly with ``n``, the number of
+    fingerprints, where the buckets of few tables would grow with it.
+    """
+    blocks = radius + 2
+    while blocks < 64 and n >> (64 * (blocks - radius) // blocks) > AIM:
+        blocks += 1
+    return blocks
+
+
+def link_fingerprints(distinct: DataFrame, radius: int = RADIUS, blocks: int | None = None, cap: int = BUCKET_ROWS) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp) that join all pairs within ``radius`` bits.
 
-    Exact: candidate tables by pigeonhole, all buckets compared in full.
+    Exact: candidate tables by pigeonhole, all buckets compared in full, whatever ``blocks``
+    (by default :func:`fields` of their number).
     """
+    blocks = blocks or fields(distinct.count(), radius)
     if blocks <= radius:
         raise ValueError("blocks must exceed radius")
     edge = [64 * k // blocks for k in range(blocks + 1)]

@@ -81,14 +81,18 @@ def test_simhash_of_odd_rows(odd, none):
     assert kept.columns == odd.columns and ids == sorted(first, key=str)
 
 
-@pytest.mark.parametrize("cap", [4, 2048])
-def test_links_in_hot_buckets(spark, cap):
+def test_fields_follow_the_number_of_fingerprints():
+    assert simhash.fields(0) == simhash.fields(10**6) == 6 < simhash.fields(10**11) < simhash.fields(10**13) < 12
+
+
+@pytest.mark.parametrize("cap, blocks", [(4, None), (2048, None), (2048, 8)])
+def test_links_in_hot_buckets(spark, cap, blocks):
     """Many near fingerprints, dealt into blocks or not: the same classes as by all pairs."""
     rng = random.Random(9)
     base = [rng.getrandbits(64) for _ in range(4)]
     fps = sorted({b ^ sum(1 << x for x in rng.sample(range(64), rng.randint(0, 5))) for b in base for _ in range(40)})
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    links = simhash.link_fingerprints(spark.createDataFrame([(f,) for f in signed], "fp bigint"), cap=cap).collect()
+    links = simhash.link_fingerprints(spark.createDataFrame([(f,) for f in signed], "fp bigint"), cap=cap, blocks=blocks).collect()
     place = {f: i for i, f in enumerate(signed)}
     want = roots(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4])
     assert roots(len(fps), [(place[r.a], place[r.b]) for r in links]) == want
