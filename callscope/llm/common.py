@@ -100,16 +100,17 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return points, starts
 
 
-def cut_hot(df: DataFrame, keys: list[str], by: str, cap: int) -> DataFrame:
+def cut_hot(df: DataFrame, keys: list[str], by: str, cap: int, counted: DataFrame | None = None) -> DataFrame:
     """``df`` with long columns ``ca`` <= ``cb`` and ``c``: groups of ``keys`` with more than ``cap`` rows become blocks.
 
     A large group is dealt into blocks by the hash of column ``by``; its rows are sent
     to every pair of blocks they take part in, so each (keys, ca, cb) holds about
     2 * cap rows at most, and each pair of rows meets once (ca < cb: only across
-    the two blocks).  ``c`` is the row's own block.
+    the two blocks).  ``c`` is the row's own block.  ``counted`` has the keys of the same
+    rows, where these are had for less than ``df``.
     """
     zero = F.lit(0).cast("int")
-    hot = settle(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > cap))
+    hot = settle((df if counted is None else counted).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > cap))
     if hot.isEmpty():
         return df.withColumns({"c": zero, "ca": zero, "cb": zero})
     wide = df.join(hot, keys, "left").withColumn("_m", F.ceil(F.coalesce(F.col("_n"), F.lit(1)) / F.lit(cap)).cast("int"))

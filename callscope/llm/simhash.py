@@ -57,15 +57,15 @@ def fingerprints(rows: DataFrame) -> DataFrame:
 
 
 class BitPlanes:
-    """Fingerprints stored vertically: plane p holds bit p of 64 rows in each word."""
+    """Fingerprints of one word or more a row, stored vertically: plane p holds bit p of 64 rows in each word."""
 
     def __init__(self, fps: np.ndarray):
         n = len(fps)
-        bits = np.unpackbits(fps.astype("<u8").view(np.uint8), bitorder="little").reshape(n, 64)
-        flat = np.zeros((64, -(-n // 64) * 64), np.uint8)
+        self.fps = fps.reshape(n, -1) if n else fps.reshape(0, 1)
+        bits = np.unpackbits(self.fps.astype("<u8").view(np.uint8), bitorder="little").reshape(n, 64 * self.fps.shape[1])
+        flat = np.zeros((bits.shape[1], -(-n // 64) * 64), np.uint8)
         flat[:, :n] = bits.T
         self.planes = np.packbits(flat, axis=1, bitorder="little").view("<u8")
-        self.fps = fps
 
     def near(self, rows: np.ndarray, words: np.ndarray, mask: np.ndarray, radius: int) -> tuple[np.ndarray, ...]:
         """Lanes within ``radius`` of each (row, word of 64 lanes): (rows, words, mask of hits).
@@ -77,9 +77,10 @@ class BitPlanes:
         zeros = lambda: [np.zeros(len(rows), np.uint64) for _ in range(width + 1)]
         count, full = zeros(), np.uint64(0xFFFFFFFFFFFFFFFF)
         query = self.fps[rows]
-        for p in range(0, 64, 2):
-            d1 = self.planes[p][words] ^ ((query >> np.uint64(p) & np.uint64(1)) * full)
-            d2 = self.planes[p + 1][words] ^ ((query >> np.uint64(p + 1) & np.uint64(1)) * full)
+        for p in range(0, len(self.planes), 2):
+            own, q = query[:, p // 64], p % 64
+            d1 = self.planes[p][words] ^ ((own >> np.uint64(q) & np.uint64(1)) * full)
+            d2 = self.planes[p + 1][words] ^ ((own >> np.uint64(q + 1) & np.uint64(1)) * full)
             half = count[0] ^ d1
             carry = (count[0] & d1) | (half & d2)
             count[0] = half ^ d2
