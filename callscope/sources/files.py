@@ -18,6 +18,8 @@ from callscope.schema import PARSED_FILE
 
 #: Folders that are not searched: those of the repository scan, and of the script scan (fixed values).
 IGNORED = (".git", ".venv", "__pycache__", "build", "dist", "node_modules", "venv")
+#: Tasks per core that files are dealt to for parsing.
+PARSE_TASKS = 4
 SCRIPT_IGNORED = (".git", "__pycache__", "venv", ".venv", "build", "tests", "docs")
 
 
@@ -148,7 +150,9 @@ def parse_files(files: DataFrame, count_tokens: Callable[[str], int] | None = No
                     rows.append((repo, path, f"{type(e).__name__}: {e}", None))
             yield pd.DataFrame(rows, columns=["repo_name", "path", "error", "parsed"])
 
-    return files.select("repo_name", "path", "content").mapInPandas(run, f"repo_name string, path string, error string, parsed struct<{_as_struct(PARSED_FILE)}>")
+    # Many files may lie in few partitions, as of one small table; parsing is the work, so it is dealt out.
+    spread = files.select("repo_name", "path", "content").repartition(PARSE_TASKS * files.sparkSession.sparkContext.defaultParallelism, "repo_name", "path")
+    return spread.mapInPandas(run, f"repo_name string, path string, error string, parsed struct<{_as_struct(PARSED_FILE)}>")
 
 
 def _as_struct(ddl: str) -> str:
