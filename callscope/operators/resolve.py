@@ -9,6 +9,11 @@ indexes hold one row per key, so each join keeps its left side's size, and a pop
 makes a hot key only on the side that Spark can split.  The first is keyed by file and
 name and lists the qualified names that end so: as every scope's candidate ends with the
 name, the scopes are tried inside the row, without a join each.
+
+Rows are dealt out by the key of the coming join before they are summed up, so sums and
+join share one exchange, and sorts run in all tasks instead of in those that read a small
+file.  The indexes are the hashed sides of their joins: they have a row per key, and the
+calls need no sort.
 """
 
 from __future__ import annotations
@@ -33,13 +38,17 @@ def candidates(qualified_name, name):
 
 
 def file_index(definitions: DataFrame) -> DataFrame:
-    """Per file and name: ``scoped``, the qualified names that end with it, and ``m1``, the definitions of the name (null if none)."""
+    """Per file and name: ``scoped``, what stands before it in the qualified names that end with it (innermost last by length), and ``m1``, the definitions of the name (null if none)."""
     parts = F.split("qualified_name", r"\.")
     tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.concat_ws(".", F.slice(parts, k, F.size(parts))))
     each = definitions.select("repo_name", "file_path", "qualified_name", "entity_id", F.col("name").alias("own"), F.explode(F.array_union(tails, F.array("name"))).alias("name"))
+    each = each.repartition("repo_name", "file_path", "name")
     named = F.when(F.col("own") == F.col("name"), F.col("entity_id"))
     per = each.groupBy("repo_name", "file_path", "name", "qualified_name").agg(F.count(F.lit(1)).alias("matches"), F.min("entity_id").alias("target_id"), F.count(named).alias("n1"), F.min(named).alias("id1"))
-    whole = per.groupBy("repo_name", "file_path", "name").agg(F.collect_list(F.struct("qualified_name", "matches", "target_id")).alias("scoped"), F.sum("n1").alias("n1"), F.min("id1").alias("id1"))
+    scope = F.expr("left(qualified_name, length(qualified_name) - length(name))")
+    whole_part = F.endswith(F.col("qualified_name"), F.col("name")) & ((F.length(scope) == 0) | F.endswith(scope, F.lit(".")))
+    entry = F.when(whole_part, F.struct(F.length(scope).alias("depth"), scope.alias("scope"), "matches", "target_id"))
+    whole = per.groupBy("repo_name", "file_path", "name").agg(F.collect_list(entry).alias("scoped"), F.sum("n1").alias("n1"), F.min("id1").alias("id1"))
     return whole.select("repo_name", "file_path", "name", "scoped", F.when(F.col("n1") > 0, F.struct(F.col("n1").alias("matches"), F.col("id1").alias("target_id"))).alias("m1"))
 
 
@@ -58,14 +67,17 @@ def resolve(sites: DataFrame, definitions: DataFrame) -> DataFrame:
     external), resolution, target_id (null unless there is one match).
     """
     keys = ["repo_name", "caller_id", "file_path", "qualified_name", "name"]
-    calls = sites.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_sites"), F.min("ordinal").alias("first_ordinal"))
-    found = calls.join(file_index(definitions), ["repo_name", "file_path", "name"], "left")
+    calls = sites.select(*keys, "ordinal").repartition("repo_name", "file_path", "name").groupBy(*keys).agg(F.count(F.lit(1)).alias("n_sites"), F.min("ordinal").alias("first_ordinal"))
+    return outcomes(calls, definitions)
+
+
+def outcomes(calls: DataFrame, definitions: DataFrame) -> DataFrame:
+    """:func:`resolve` of sites that are summed up already: a row per (caller, name), with n_sites and first_ordinal."""
+    found = calls.join(file_index(definitions).hint("shuffle_hash"), ["repo_name", "file_path", "name"], "left")
     found = found.join(index(definitions, "name").select("repo_name", "name", F.struct("matches", "target_id").alias("m2")), ["repo_name", "name"], "left")
-    scopes = candidates(F.col("qualified_name"), F.col("name"))
-    hits = F.filter("scoped", lambda x: F.array_contains(scopes, x["qualified_name"]))
-    # Candidates lie inside each other, so the innermost has most parts.
-    ranked = F.transform(hits, lambda x: F.struct(F.size(F.split(x["qualified_name"], r"\.")).alias("depth"), x["matches"].alias("matches"), x["target_id"].alias("target_id")))
-    found = found.withColumn("m0", F.array_max(ranked))
+    # A scope of the caller is a start of its qualified name; those lie inside each other, so the innermost is the longest.
+    inside = F.concat("qualified_name", F.lit("."))
+    found = found.withColumn("m0", F.array_max(F.filter("scoped", lambda x: F.startswith(inside, x["scope"]))))
     tier = F.coalesce(*(F.when(F.col(f"m{k}").isNotNull(), F.struct(F.lit(t).alias("resolution"), F.col(f"m{k}.matches").alias("matches"), F.col(f"m{k}.target_id").alias("target_id"))) for k, t in enumerate(TIERS)))
     found = found.withColumn("t", tier)
     return found.select(
@@ -78,7 +90,7 @@ def resolve(sites: DataFrame, definitions: DataFrame) -> DataFrame:
 
 def internal_edges(resolved: DataFrame) -> DataFrame:
     """One edge per (caller, target): its sites, and the resolution of the first of them."""
-    one = resolved.where(F.col("matches") == 1)
+    one = resolved.where(F.col("matches") == 1).select("repo_name", "caller_id", "target_id", "resolution", "first_ordinal", "name", "n_sites", "file_path").repartition("repo_name", "caller_id")
     return one.groupBy("repo_name", "caller_id", "target_id").agg(
         F.min_by("resolution", F.struct("first_ordinal", "name")).alias("resolution"), F.sum("n_sites").alias("call_count"), F.min("file_path").alias("source_file")
     )
@@ -90,7 +102,7 @@ def external_edges(resolved: DataFrame) -> DataFrame:
 
 def ambiguous_names(resolved: DataFrame) -> DataFrame:
     """Names of each caller that several definitions share, in order of first occurrence."""
-    many = resolved.where(F.col("matches") > 1)
+    many = resolved.where(F.col("matches") > 1).select("repo_name", "caller_id", "first_ordinal", "name").repartition("repo_name", "caller_id")
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("first_ordinal", "name"))), lambda x: x["name"])
     return many.groupBy("repo_name", "caller_id").agg(ordered.alias("ambiguous_calls"))
 
@@ -102,7 +114,7 @@ def call_table(resolved: DataFrame) -> DataFrame:
         "repo_name", "caller_id", F.when(one, FUNCTION).otherwise(EXTERNAL).alias("target_kind"), F.when(one, F.col("target_id")).otherwise(F.col("name")).alias("target_key"),
         "resolution", "n_sites", "first_ordinal", "name", "file_path",
     )
-    return rows.groupBy("repo_name", "caller_id", "target_kind", "target_key").agg(
+    return rows.repartition("repo_name", "caller_id").groupBy("repo_name", "caller_id", "target_kind", "target_key").agg(
         F.min_by("resolution", F.struct("first_ordinal", "name")).alias("resolution"), F.sum("n_sites").alias("call_count"), F.min("file_path").alias("source_file")
     )
 

@@ -21,7 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").where(~F.startswith("p_name", F.lit("red ")))
+    # Many rows of a small file are few tasks' to read: they are dealt out before any work on them.
+    p = table(spark, sf_dir, "part").where(~F.startswith("p_name", F.lit("red "))).select("p_partkey", "p_name", "p_brand", "p_type", "p_size").repartition("p_partkey")
     rows = p.select(
         F.concat(F.lit("org/r"), F.pmod("p_partkey", F.lit(2))).alias("repo_name"), F.col("p_partkey").cast("string").alias("entity_id"), "p_partkey", F.col("p_name").alias("name"),
         F.concat("p_type", F.lit("."), "p_name").alias("qualified_name"), F.concat("p_brand", F.lit("/"), "p_size").alias("file_path"), F.col("p_type").alias("signature"), F.col("p_size").alias("start_line"),
@@ -31,20 +32,31 @@ def definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(~blue).unionByName(rows.where(blue).join(once, ["repo_name", "name", "p_partkey"], "left_semi"))
 
 
-def sites(spark: SparkSession, sf_dir: str, defs: DataFrame) -> DataFrame:
-    """repo_name, caller_id, file_path, qualified_name, name, ordinal of each call."""
+def _called(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """caller (a part), name, ordinal of each call."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
-    first = lines.groupBy("l_orderkey").agg(F.min("l_partkey").alias("caller"))
-    called = lines.join(first, "l_orderkey").where(F.col("l_partkey") != F.col("caller"))
-    called = called.join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("name")), "l_partkey")
+    # One exchange by order; parts are unique, so the hashed sides here and below are even.
+    first = F.min("l_partkey").over(W.partitionBy("l_orderkey"))
+    called = lines.withColumn("caller", first).where(F.col("l_partkey") != F.col("caller"))
+    names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("name"))
+    return called.join(names.hint("shuffle_hash"), "l_partkey").select("caller", "name", (F.col("l_orderkey") * 16 + F.col("l_linenumber")).alias("ordinal"))
+
+
+def _by_caller(called: DataFrame, defs: DataFrame, *columns: str) -> DataFrame:
     by = defs.select("repo_name", F.col("p_partkey").alias("caller"), F.col("entity_id").alias("caller_id"), "file_path", "qualified_name")
-    ordinal = F.col("l_orderkey") * 16 + F.col("l_linenumber")
-    return called.join(by, "caller").select("repo_name", "caller_id", "file_path", "qualified_name", "name", ordinal.alias("ordinal"))
+    return called.join(by.hint("shuffle_hash"), "caller").select("repo_name", "caller_id", "file_path", "qualified_name", "name", *columns)
+
+
+def sites(spark: SparkSession, sf_dir: str, defs: DataFrame) -> DataFrame:
+    """repo_name, caller_id, file_path, qualified_name, name, ordinal of each call."""
+    return _by_caller(_called(spark, sf_dir), defs, "ordinal")
 
 
 def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes of all calls, summed up by the caller's number, before it gets its long names."""
     defs = definitions(spark, sf_dir)
-    return resolve.resolve(sites(spark, sf_dir, defs), defs)
+    calls = _called(spark, sf_dir).repartition("caller").groupBy("caller", "name").agg(F.count(F.lit(1)).alias("n_sites"), F.min("ordinal").alias("first_ordinal"))
+    return resolve.outcomes(_by_caller(calls, defs, "n_sites", "first_ordinal"), defs)
 
 
 def sample_graph(spark: SparkSession, sf_dir: str, calls: bool = True) -> Graph:
