@@ -1,7 +1,8 @@
 """Queries over a source graph.  Each takes the graph's tables and returns a DataFrame.
 
 Filters on ``repo_name`` come first, so they reach the partitions of the stored tables.
-Sorts put nulls last.
+Sorts put nulls last.  A few callees are called by most: tables with a row per key are the
+hashed sides of joins with edges, which stream past them without a sort.
 """
 
 from __future__ import annotations
@@ -46,6 +47,11 @@ def targets(g: Graph) -> DataFrame:
     return inside.unionByName(outside)
 
 
+def _hashed(rows: DataFrame) -> DataFrame:
+    """``rows``, which have a row per key, as the hashed side of a join."""
+    return rows.hint("shuffle_hash")
+
+
 def _linked(g: Graph, callers: DataFrame, called: DataFrame) -> DataFrame:
     """Edges with caller (c_) and target (t_) columns; both must exist in one repository."""
     c = callers.select("repo_name", F.col("entity_id").alias("caller_id"), F.col("name").alias("c_name"), F.col("qualified_name").alias("c_qualified_name"), F.col("file_path").alias("c_file"))
@@ -326,8 +332,10 @@ def community_samples(functions: DataFrame) -> DataFrame:
 
 def flat_callers(g: Graph, name: str | None = None, ordered: bool = False) -> DataFrame:
     """The earlier callers query: distinct callers of a name, with id, name, file and line; ``ordered``: by file, line and id."""
-    rows = g.calls.join(targets(g).where(_named(name)).select("repo_name", F.col("kind").alias("target_kind"), F.col("key").alias("target_key")), ["repo_name", "target_kind", "target_key"], "left_semi")
-    found = g.functions.join(rows.select("repo_name", F.col("caller_id").alias("entity_id")), ["repo_name", "entity_id"], "left_semi")
+    called = targets(g).where(_named(name)).select("repo_name", F.col("kind").alias("target_kind"), F.col("key").alias("target_key"))
+    rows = g.calls.select("repo_name", "caller_id", "target_kind", "target_key").join(called if name is not None else _hashed(called), ["repo_name", "target_kind", "target_key"], "left_semi")
+    # Distinct and joined: a semi join is pushed below unions of functions, and all calls are then worked out for each.
+    found = g.functions.join(_hashed(rows.select("repo_name", F.col("caller_id").alias("entity_id")).distinct()), ["repo_name", "entity_id"])
     found = found.select(F.col("entity_id").alias("id"), "name", "qualified_name", F.col("file_path").alias("file"), F.col("start_line").alias("line")).distinct()
     return by(found, "file", "line", "id") if ordered else found
 
