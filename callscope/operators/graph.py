@@ -52,11 +52,14 @@ def _hashed(rows: DataFrame) -> DataFrame:
     return rows.hint("shuffle_hash")
 
 
-def _linked(g: Graph, callers: DataFrame, called: DataFrame) -> DataFrame:
-    """Edges with caller (c_) and target (t_) columns; both must exist in one repository."""
+def _linked(g: Graph, callers: DataFrame, called: DataFrame, hashed: bool = True) -> DataFrame:
+    """Edges with caller (c_) and target (t_) columns; both must exist in one repository.  Without ``hashed``, for sides filtered by name, the joins are left to the planner."""
     c = callers.select("repo_name", F.col("entity_id").alias("caller_id"), F.col("name").alias("c_name"), F.col("qualified_name").alias("c_qualified_name"), F.col("file_path").alias("c_file"))
     t = called.select("repo_name", F.col("kind").alias("target_kind"), F.col("key").alias("target_key"), F.col("name").alias("t_name"), F.col("qualified_name").alias("t_qualified_name"), F.col("file_path").alias("t_file"))
-    return g.calls.join(t, ["repo_name", "target_kind", "target_key"]).join(c, ["repo_name", "caller_id"])
+    if not hashed:
+        return g.calls.join(t, ["repo_name", "target_kind", "target_key"]).join(c, ["repo_name", "caller_id"])
+    # Calls are dealt by caller as they come from the resolver, so this order has one exchange of edges.
+    return g.calls.join(_hashed(c), ["repo_name", "caller_id"]).join(_hashed(t), ["repo_name", "target_kind", "target_key"])
 
 
 def by(rows: DataFrame, *columns: str) -> DataFrame:
@@ -73,10 +76,11 @@ def callers(g: Graph, name: str | None = None, limit: int = CALLER_LIMIT) -> Dat
 
     Without a name: of every name, the first ``limit`` of each.  func_name is the target's simple name.
     """
-    rows = _linked(g, g.functions, targets(g).where(_named(name)))
+    rows = _linked(g, g.functions, targets(g).where(_named(name)), hashed=name is None)
     rows = rows.select("repo_name", F.col("t_name").alias("func_name"), _display("c_").alias("caller"), "c_file", _display("t_").alias("target"), F.col("t_file").alias("target_file"), (F.col("target_kind") == EXTERNAL).alias("target_is_external"))
     keys = ["repo_name", "func_name", "caller", "target", "target_file", "target_is_external"]
-    grouped = rows.groupBy(*keys).agg(F.sort_array(F.collect_set("c_file")).alias("file_paths"))
+    # Once each before they are gathered: numbers of keys are summed up where they are read, sets are not.
+    grouped = rows.distinct().groupBy(*keys).agg(F.sort_array(F.collect_set("c_file")).alias("file_paths"))
     order = [F.col("caller").asc_nulls_last(), F.col("target_file").asc_nulls_last(), F.col("target").asc_nulls_last(), F.col("target_is_external")]
     if name is not None:
         return grouped.orderBy(*order).limit(limit)
@@ -85,7 +89,7 @@ def callers(g: Graph, name: str | None = None, limit: int = CALLER_LIMIT) -> Dat
 
 def outgoing(g: Graph, name: str | None = None, ordered: bool = False) -> DataFrame:
     """What functions of this name call, of all functions without a name; ``ordered``: by caller's file and name, target and its file."""
-    rows = _linked(g, g.functions.where(_named(name)), targets(g))
+    rows = _linked(g, g.functions.where(_named(name)), targets(g), hashed=name is None)
     rows = rows.select("repo_name", _display("c_").alias("caller_name"), F.col("c_file").alias("caller_file"), _display("t_").alias("target_name"), F.col("t_file").alias("target_file"), (F.col("target_kind") == EXTERNAL).alias("is_external"))
     return by(rows, "caller_file", "caller_name", "target_name", "target_file") if ordered else rows
 
