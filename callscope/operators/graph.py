@@ -251,7 +251,7 @@ def with_both_ends(e: DataFrame, n: DataFrame) -> DataFrame:
     """Edges whose ends are both among the nodes."""
     s = n.select("repo_name", F.col("kind").alias("source_kind"), F.col("id").alias("source"))
     t = n.select("repo_name", F.col("kind").alias("target_kind"), F.col("id").alias("target"))
-    return e.join(s, ["repo_name", "source_kind", "source"], "left_semi").join(t, ["repo_name", "target_kind", "target"], "left_semi")
+    return e.join(_hashed(s), ["repo_name", "source_kind", "source"], "left_semi").join(_hashed(t), ["repo_name", "target_kind", "target"], "left_semi")
 
 
 def toggled(selection: list[int], community: int) -> list[int]:
