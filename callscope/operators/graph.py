@@ -155,7 +155,9 @@ def window(g: Graph, limit: int | None = WINDOW_LIMIT) -> DataFrame:
     n = nodes(g)
     ends = g.functions.select("repo_name", F.lit(FUNCTION).alias("target_kind"), F.col("entity_id").alias("target"), F.col("leiden_community").alias("m_community"))
     out = edges(g).select("repo_name", F.col("source_kind").alias("kind"), F.col("source").alias("id"), "edge", "target_kind", "target")
-    rows = n.join(out, ["repo_name", "kind", "id"], "left").join(ends, ["repo_name", "target_kind", "target"], "left")
+    # Edges get their target's community first: nodes without edges would meet as one null key.
+    out = out.join(_hashed(ends), ["repo_name", "target_kind", "target"], "left")
+    rows = _hashed(n).join(out, ["repo_name", "kind", "id"], "left")
     of = lambda c, p: named.select("repo_name", F.col("community_id").alias(c), F.col("cname").alias(f"{p}_community_name"), F.col("cdesc").alias(f"{p}_community_description"))
     rows = rows.join(of("community", "n"), ["repo_name", "community"], "left").join(of("m_community", "m"), ["repo_name", "m_community"], "left")
     rows = rows.select("repo_name", "kind", "id", "label", "community", "edge", "target_kind", "target", "n_community_name", "n_community_description", "m_community_name", "m_community_description")
