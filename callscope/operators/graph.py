@@ -228,9 +228,9 @@ def degrees(n: DataFrame, e: DataFrame) -> DataFrame:
 
 def sized(n: DataFrame, e: DataFrame) -> DataFrame:
     """Nodes with degree and display size; the largest degree (1 at least) is the unit."""
-    rows = degrees(n, e)
+    rows = cut(degrees(n, e))  # read twice
     most = rows.groupBy("repo_name").agg(F.greatest(F.lit(1), F.max("degree")).alias("most"))
-    rows = rows.join(most, "repo_name")
+    rows = rows.join(F.broadcast(most), "repo_name")  # a row per repository, which is a hot key
     width, height = view.node_size(F.col("kind"), F.col("degree"), F.col("most"))
     return rows.withColumns({"width": width, "height": height}).drop("most")
 
