@@ -265,7 +265,7 @@ def highlighted(n: DataFrame, e: DataFrame, selection: list[int]) -> tuple[DataF
     on = F.lit(True) if not selection else F.coalesce(F.col("community").isin(*selection), F.lit(False))
     marked = n.withColumn("active", on)
     end = lambda p: marked.select("repo_name", F.col("kind").alias(f"{p}_kind"), F.col("id").alias(p), F.col("active").alias(f"{p}_on"))
-    rows = e.join(end("source"), ["repo_name", "source_kind", "source"], "left").join(end("target"), ["repo_name", "target_kind", "target"], "left")
+    rows = e.join(_hashed(end("source")), ["repo_name", "source_kind", "source"], "left").join(_hashed(end("target")), ["repo_name", "target_kind", "target"], "left")
     lit = F.coalesce("source_on", F.lit(False)) | F.coalesce("target_on", F.lit(False))
     return marked, rows.withColumn("dimmed", ~lit).drop("source_on", "target_on")
 
