@@ -308,7 +308,7 @@ def missing_communities(g: Graph) -> DataFrame:
 
 def orphan_externals(g: Graph) -> DataFrame:
     """External functions that nothing calls."""
-    called = g.calls.where(F.col("target_kind") == EXTERNAL).select("repo_name", F.col("target_key").alias("name"))
+    called = g.calls.where(F.col("target_kind") == EXTERNAL).select("repo_name", F.col("target_key").alias("name")).distinct()
     return g.external_functions.join(called, ["repo_name", "name"], "left_anti")
 
 
