@@ -344,8 +344,9 @@ def leiden(spark, d):
 @query()
 def leiden_report(spark, d):
     g = sample_graph(spark, d)
-    functions = community.write_back(g.functions, community.detect(g))
-    return community.report(functions, community.projection(g))
+    edges = cut(community.projection(g))  # read twice
+    functions = community.write_back(g.functions, community.detect(g, edges=edges))
+    return community.report(functions, edges)
 
 
 # Identity and functions ---------------------------------------------------------
